@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def without_space(c: Column) -> Column:
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice hold about ``most`` bytes; a longer text stays whole, alone."""
     col = batch.column(column)
-    lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
     start = size = 0
     for i, n in enumerate(lengths):
         if size and size + n > most:
