@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stage, table
 
 MAX_FILTER_BYTES = 64 << 20
+#: Filters of at most so many bits are gathered as one set of positions.
+SMALL_BITS = 1 << 16
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Hosts that are blocked, with their subdomains, where no rule fits.
@@ -77,6 +79,12 @@ class Level:
     def fill(self, keys: DataFrame) -> Level:
         """``keys`` has a column key. Rows sent to the driver: at most one for each of the filter's bytes."""
         at = keys.select(F.explode(F.array(*self.positions(F.col("key")))).alias("at"))
+        if self.m <= SMALL_BITS:  # one row: no shuffle over all partitions
+            data = bytearray(b"0" * (self.m // 6))
+            for x in at.agg(F.collect_set("at").alias("at")).first()["at"]:
+                data[x // 6] = 48 + (data[x // 6] - 48 | 1 << x % 6)
+            self.bits = bytes(data)
+            return self
         cells = at.groupBy(F.floor(F.col("at") / 6).cast("long").alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("at") % 6).cast("int"))).alias("bits"))
         data = bytearray(b"0" * (self.m // 6))
         for row in cells.toLocalIterator():
@@ -114,8 +122,8 @@ def build_cascade(universe: DataFrame, first_number: int = 1) -> Cascade:
     """``universe``: (key, listed), each key once."""
     levels: list[Level] = []
     left = universe
-    n = {r.listed: r["count"] for r in universe.groupBy("listed").count().collect()}
-    n_listed, n_other = n.get(True, 0), n.get(False, 0)
+    n_listed, n_all = universe.agg(F.count_if("listed"), F.count(F.lit(1))).first()
+    n_other = n_all - n_listed
     if not n_listed:
         return Cascade([])
     encode, size = True, n_listed
@@ -137,30 +145,27 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path"))
     lengths = sorted({len(p) for _, _, p in rules}, reverse=True)
-    lists = {
-        "rules": [h + p for _, h, p in rules if h],
-        "allowing": [h + p for v, h, p in rules if h and v == "allow"],
-        "hosts": [h for h in hosts if h],
-    }
+    listed = {f"{v} {h}{p}" for v, h, p in rules if h} | {f"host {h}" for h in hosts if h}
 
     short = rows.select("host", F.substring("path", 1, max(lengths, default=0)).alias("path")).distinct()
-    short = stage(short, "url-universe")
-    cascades = {}
-    for number, (name, listed) in enumerate(lists.items()):
-        keys = keys_of(F.col("host"), F.col("path"), [0] if name == "hosts" else lengths)
-        universe = short.select(F.explode(keys).alias("key")).distinct()
-        names = spark.range(1).select(F.explode(F.array(*map(F.lit, sorted(set(listed)))).cast("array<string>")).alias("key"), F.lit(True).alias("listed"))
-        universe = universe.join(names, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
-        cascades[name] = build_cascade(stage(universe, f"url-{name}"), 1 + 100 * number)
-
-    keys = keys_of(F.col("host"), F.col("path"), lengths)
-    fitting = F.filter(keys, cascades["rules"].listed) if cascades["rules"].levels else F.array().cast("array<string>")
-    longest = F.array_max(F.transform(fitting, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule")))).getField("rule")
-    rows = rows.withColumn("rule", longest)
-    blocked = F.exists(suffixes(F.col("host")), cascades["hosts"].listed) if cascades["hosts"].levels else F.lit(False)
-    by_rule = F.when(cascades["allowing"].listed(F.col("rule")), "allow").otherwise("block")
-    verdict = F.when(F.col("rule").isNotNull(), by_rule).when(blocked, "block").otherwise("allow")
-    return rows.select(id_col, "host", "path", "rule", verdict.alias("verdict"))
+    universe = short.select(F.explode(F.concat(*_named_keys(F.col("host"), F.col("path"), lengths))).alias("key")).distinct()
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, sorted(listed))).cast("array<string>")).alias("key"), F.lit(True).alias("listed"))
+    universe = universe.join(names, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
+    cascade = build_cascade(stage(universe, "url-universe"))
+
+    of_rules, of_hosts = _named_keys(F.col("host"), F.col("path"), lengths)
+    fitting = F.filter(of_rules, cascade.listed)
+    longest = F.array_max(F.transform(fitting, lambda k: F.struct(F.length(k).alias("n"), k.alias("key")))).getField("key")
+    rows = rows.withColumn("_fit", F.split(longest, " ", 2)).withColumn("_blocked", F.exists(of_hosts, cascade.listed))
+    verdict = F.coalesce(F.col("_fit")[0], F.when(F.col("_blocked"), "block").otherwise("allow"))
+    return rows.select(id_col, "host", "path", F.col("_fit")[1].alias("rule"), verdict.alias("verdict"))
+
+
+def _named_keys(host: Column, path: Column, lengths: Sequence[int]) -> tuple[Column, Column]:
+    """What a url could match: "allow key" and "block key" of rules; "host key" of the list of hosts."""
+    keys = keys_of(host, path, lengths)
+    of_rules = F.concat(*(F.transform(keys, lambda k: F.concat(F.lit(f"{v} "), k)) for v in ("allow", "block")))
+    return of_rules, F.transform(keys_of(host, path, [0]), lambda k: F.concat(F.lit("host "), k))
 
 
 def query(spark, sf_dir):
