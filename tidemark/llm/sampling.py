@@ -48,12 +48,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def uniform(*parts) -> np.ndarray:
-    """In (0, 1), from integers."""
+def hashed(*parts) -> np.ndarray:
     h = U(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         for p in parts:
             h = mix(h + np.asarray(p).astype(np.uint64) * U(0xD1342543DE82EF95) + U(0x632BE59BD9B4E019))
+    return h
+
+
+def uniform(*parts) -> np.ndarray:
+    """In (0, 1), from integers."""
+    h = hashed(*parts)
     return ((h >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -76,6 +81,7 @@ class Lattices:
         self.logp = np.full(len(vocabulary), BYTE_LOGP)
         for i, w in weight.items():
             self.logp[i] = w - total
+        self.p = np.append(np.exp(self.logp), 0.0)  # the id -1 stands for none
         self.longest = max(len(p) for _, p, _ in normal)
         seen: dict[str, int] = {}
         for _, piece, score in normal:
@@ -110,55 +116,71 @@ class Lattices:
 
     def solve(self, words: list[str]) -> list[tuple]:
         """Groups of words of like length: (their indices, ids [word, place, length], cumulative probabilities, log sums)."""
-        by: dict[int, list[int]] = {}
+        by: dict[tuple[int, bool], list[int]] = {}
+        common = self.rare.isdisjoint
         for i, w in enumerate(words):
             n = len(w)
-            by.setdefault(4 * -(-n // 4) if n <= 24 else 1 << (n - 1).bit_length(), []).append(i)
-        return [self._group(np.array(at), [words[i] for i in at], width) for width, at in sorted(by.items())]
+            by.setdefault((4 * -(-n // 4) if n <= 24 else 1 << (n - 1).bit_length(), not common(w)), []).append(i)
+        return [self._group(np.array(at), [words[i] for i in at], *key) for key, at in sorted(by.items())]
 
-    def _group(self, at: np.ndarray, words: list[str], width: int) -> tuple:
-        n, m = len(words), min(self.longest, width)
+    def _group(self, at: np.ndarray, words: list[str], width: int, has_rare: bool) -> tuple:
+        n, most = len(words), min(self.longest, width)
         codes = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
         size = np.array([len(w) for w in words])
         inside = np.arange(width)[None, :] < size[:, None]
-        kinds = np.zeros((n, width + m), np.uint8)
+        kinds = np.zeros((n, width + most), np.uint8)
         kinds[:, :width] = np.where(inside, self.of_char[codes], 0)
-        ids = np.full((n, width, m), -1, np.int32)
         row, place = np.nonzero(kinds[:, :width])
         node = np.zeros(len(row), np.int32)
-        for length in range(m):
+        matches = []  # by length
+        for length in range(most):
             node = self.next[node, kinds[row, place + length]]
             alive = node > 0
             row, place, node = row[alive], place[alive], node[alive]
-            if not len(row):
-                break
             end = self.end[node]
             some = end >= 0
-            ids[row[some], place[some], length] = end[some]
-        if self.rare:
-            for i, w in enumerate(words):
-                if not self.rare.isdisjoint(w):
-                    for a in range(len(w)):
-                        for length in range(min(m, len(w) - a)):
-                            ids[i, a, length] = self.by_piece.get(w[a : a + length + 1], -1)
-        logp = np.where(ids >= 0, self.logp[ids], -np.inf)
+            matches.append((row[some], place[some], end[some]))
+            if not len(row):
+                break
+        m = most if has_rare else max([k + 1 for k, x in enumerate(matches) if len(x[0])], default=1)
+        ids = np.full((n, width, m), -1, np.int32)
+        for length, (row, place, end) in enumerate(matches[:m]):
+            ids[row, place, length] = end
+        for i, w in enumerate(words if has_rare else ()):
+            for a in range(len(w)):
+                for length in range(min(m, len(w) - a)):
+                    ids[i, a, length] = self.by_piece.get(w[a : a + length + 1], -1)
         unknown = inside & (ids[:, :, 0] < 0)  # spelt in bytes; the id -2 - byte length stands for them
-        spelt = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-        ids[:, :, 0] = np.where(unknown, np.where(spelt == 1, self.byte[codes & 0xFF], -2 - spelt), ids[:, :, 0])
-        logp[:, :, 0] = np.where(unknown, spelt * BYTE_LOGP, logp[:, :, 0])
-        logs = np.full((n, width + m + 1), -np.inf)
-        logs[np.arange(n), size] = 0.0
+        spelt = np.ones_like(codes) if not unknown.any() else 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+        single = np.where(unknown, spelt * BYTE_LOGP, self.logp[ids[:, :, 0]])
         cumulative = np.zeros((n, width, m), np.float32)
-        for a in range(width - 1, -1, -1):
-            x = logp[:, a, :] + logs[:, a + 1 : a + 1 + m]
-            x = np.where(inside[:, a, None], x, -np.inf)
-            top = x.max(axis=1)
-            top = np.where(np.isfinite(top), top, 0.0)
-            e = np.cumsum(np.exp(x - top[:, None]), axis=1)
-            whole = e[:, -1]
-            ok = whole > 0
-            logs[ok, a] = top[ok] + np.log(whole[ok])
-            cumulative[:, a, :] = e / np.where(ok, whole, 1.0)[:, None]
+        if -np.where(inside, single, 0.0).sum(axis=1).min(initial=0.0) < 600:  # sums fit doubles as they are
+            p = self.p[ids]
+            p[:, :, 0] = np.where(inside, np.exp(single), 0.0)
+            sums = np.zeros((n, width + m + 1))
+            sums[np.arange(n), size] = 1.0
+            for a in range(width - 1, -1, -1):
+                e = np.cumsum(p[:, a, :] * sums[:, a + 1 : a + 1 + m], axis=1)
+                whole = e[:, -1]
+                sums[:, a] = np.where(inside[:, a], whole, sums[:, a])
+                cumulative[:, a, :] = e / np.where(whole > 0, whole, 1.0)[:, None]
+            with np.errstate(divide="ignore"):
+                logs = np.log(sums)
+        else:
+            logp = np.where(ids >= 0, self.logp[ids], -np.inf)
+            logp[:, :, 0] = np.where(inside, single, -np.inf)
+            logs = np.full((n, width + m + 1), -np.inf)
+            logs[np.arange(n), size] = 0.0
+            for a in range(width - 1, -1, -1):
+                x = np.where(inside[:, a, None], logp[:, a, :] + logs[:, a + 1 : a + 1 + m], -np.inf)
+                top = x.max(axis=1)
+                top = np.where(np.isfinite(top), top, 0.0)
+                e = np.cumsum(np.exp(x - top[:, None]), axis=1)
+                whole = e[:, -1]
+                ok = whole > 0
+                logs[ok, a] = top[ok] + np.log(whole[ok])
+                cumulative[:, a, :] = e / np.where(ok, whole, 1.0)[:, None]
+        ids[:, :, 0] = np.where(unknown, np.where(spelt == 1, self.byte[codes & 0xFF], -2 - spelt.astype(np.int32)), ids[:, :, 0])
         return at, ids, cumulative, logs, codes, size
 
     def decode(self, ids) -> str:
@@ -211,14 +233,15 @@ class Slice:
         forced: step -> (occurrences, length indices) that are given.
         """
         found = []
+        key = hashed(self.seed, number, self.key, self.rank)
         for g, (_, ids, cumulative, _, _, size) in enumerate(self.groups):
             occ = np.nonzero(self.group == g)[0]
-            place = np.zeros(len(occ), np.int64)
+            place = np.zeros(len(occ), np.int32)
             step = 0
             while len(occ):
                 row = self.row[occ]
-                u = uniform(self.seed, number, self.key[occ], self.rank[occ], step)
-                length = (cumulative[row, place] <= u[:, None].astype(np.float32)).sum(axis=1)
+                u = (mix(key[occ] + U(step * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)) >> U(40)).astype(np.float32) * np.float32(2.0**-24)
+                length = (cumulative[row, place] <= u[:, None]).sum(axis=1, dtype=np.int32)
                 length = np.minimum(length, ids.shape[2] - 1)
                 if step in forced:
                     given = np.full(self.n, -1, np.int16)
@@ -237,8 +260,13 @@ class Slice:
         if not found:
             return tuple(np.zeros(0, np.int64) for _ in range(5))
         occ, step, place, length, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((step, occ)) if len(self.groups) > 1 or step.max(initial=0) else slice(None)
-        return occ[order], step[order], place[order], length[order], ids[order]
+        steps = np.bincount(occ, minlength=self.n)
+        to = (np.cumsum(steps) - steps)[occ] + step
+        out = []
+        for x in (occ, step, place, length, ids):
+            out.append(np.empty_like(x))
+            out[-1][to] = x
+        return tuple(out)
 
     def edge_logp(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids >= 0, self.lat.logp[ids], (-2 - ids) * BYTE_LOGP)
