@@ -25,36 +25,39 @@ LEAST_HOT = 64
 SPLITTER_CHARS = 24
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+def _sorted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All columns as _row, with _id, _n, _norm, _salt, _is_hot and, within sub-blocks of equal texts, _rank, _keep, _size."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), F.length(text).cast("long").alias("_n"), without_space(text).alias("_norm"))
-    rows = rows.withColumn("_h", F.xxhash64("_norm"))
-
-    counts = rows.groupBy("_h").count()
-    counts = stage(counts, "dedup-counts")
+    norm = without_space(text)
+    counts = stage(docs.groupBy(F.xxhash64(norm).alias("_h")).count(), "dedup-counts")
     total = counts.agg(F.sum("count")).first()[0] or 0
     most = max(LEAST_HOT, total // HOT_GROUPS)
     hot = counts.filter(F.col("count") > most).select(F.col("_h").alias("_hot"), F.ceil(F.col("count") / most).cast("long").alias("_salts"))
-    rows = rows.join(F.broadcast(hot), F.col("_h") == F.col("_hot"), "left")
+
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"), norm.alias("_norm"))
+    rows = own.withColumn("_h", F.xxhash64("_norm")).join(F.broadcast(hot), F.col("_h") == F.col("_hot"), "left")
     salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts")), F.lit(0)).cast("long")
-    keyed = rows.select("_id", "_n", "_norm", "_h", F.substring("_norm", 1, SPLITTER_CHARS).alias("_p"), salt.alias("_salt"), F.col("_hot").isNotNull().alias("_is_hot"))
+    keyed = rows.select("_row", "_id", "_h", F.substring("_norm", 1, SPLITTER_CHARS).alias("_p"), salt.alias("_salt"), F.col("_hot").isNotNull().alias("_is_hot"))
 
     placed = keyed.repartitionByRange("_p", "_h", "_salt")
+    text = F.coalesce(F.col(f"_row.`{text_col}`").cast("string"), F.lit(""))
+    placed = placed.withColumn("_norm", without_space(text)).withColumn("_n", F.length(text).cast("long"))
     group = Window.partitionBy("_p", "_h", "_salt", "_norm").orderBy(F.col("_n").desc(), F.col("_id").asc_nulls_last())
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = placed.select(
-        "_id", "_n", "_salt", "_is_hot",
-        F.sha2("_norm", 256).alias("text_sha256"),
-        F.row_number().over(group).alias("_rank"),
-        F.first("_id").over(whole).alias("_keep"),
-        F.count(F.lit(1)).over(whole).alias("_size"),
-    )
-    found = stage(found, "dedup-found")
+    return placed.withColumns({"_rank": F.row_number().over(group), "_keep": F.first("_id").over(whole), "_size": F.count(F.lit(1)).over(whole)})
+
 
-    heads = found.filter(F.col("_is_hot") & (F.col("_rank") == 1))
+def _merged(heads: DataFrame) -> DataFrame:
+    """One row for each salted text: hash, the best head of its sub-blocks, and its number of copies."""
     best = F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_salt").alias("salt"))
-    merged = heads.groupBy(F.col("text_sha256").alias("_sha")).agg(F.min(best).alias("_best"), F.sum("_size").alias("_all"))
+    return heads.groupBy(F.col("text_sha256").alias("_sha")).agg(F.min(best).alias("_best"), F.sum("_size").alias("_all"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+    found = _sorted(docs.select(id_col, text_col), id_col, text_col)
+    found = stage(found.select("_id", "_n", "_salt", "_is_hot", "_rank", "_keep", "_size", F.sha2("_norm", 256).alias("text_sha256")), "dedup-found")
+    merged = _merged(found.filter(F.col("_is_hot") & (F.col("_rank") == 1)))
     out = found.join(F.broadcast(merged), F.col("text_sha256") == F.col("_sha"), "left")
     first = (F.col("_rank") == 1) & (F.col("_sha").isNull() | (F.col("_salt") == F.col("_best.salt")))
     return out.select(
@@ -66,6 +69,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns."""
+    heads = _sorted(docs, id_col, text_col).filter(F.col("_rank") == 1)
+    heads = stage(heads.select("_row", "_id", "_n", "_salt", "_is_hot", "_size", F.when(F.col("_is_hot"), F.sha2("_norm", 256)).alias("text_sha256")), "dedup-heads")
+    merged = _merged(heads.filter("_is_hot"))
+    out = heads.join(F.broadcast(merged), F.col("text_sha256") == F.col("_sha"), "left")
+    return out.filter(F.col("_sha").isNull() | (F.col("_salt") == F.col("_best.salt"))).select("_row.*")
+
+
 def query(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -241,6 +241,13 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("s").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component, with their columns; rows that share an id go together."""
+    found = ngram_components(docs, n, percent, id_col, text_col)
+    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+
+
 def query(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents"))
 

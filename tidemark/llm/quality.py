@@ -223,8 +223,8 @@ def gradient_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarra
     return w
 
 
-def score(docs: DataFrame, weights: np.ndarray, weak: WeakModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with quality, the scorer's probability that a text is good, and weak, the posterior's."""
+def score(docs: DataFrame, weights: np.ndarray, weak: WeakModel, text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("quality", "weak")) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with two columns: the scorer's probability that a text is good, and the posterior's."""
     rows = docs.select(*(keep if keep is not None else docs.columns), F.col(text_col).cast("string").alias("_text"))
     names = rows.columns[:-1]
     flat = weights.astype(np.float32)
@@ -245,9 +245,9 @@ def score(docs: DataFrame, weights: np.ndarray, weak: WeakModel, text_col: str =
                     if pattern not in memory:
                         memory[pattern] = 1 - weak.posterior(pattern)
                     seen.append(memory[pattern])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(good, pa.float64()), pa.array(seen, pa.float64())], names=[*names, "quality", "weak"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(good, pa.float64()), pa.array(seen, pa.float64())], names=[*names, *out])
 
-    schema = StructType([*rows.schema.fields[:-1], StructField("quality", DoubleType()), StructField("weak", DoubleType())])
+    schema = StructType([*rows.schema.fields[:-1], *(StructField(x, DoubleType()) for x in out)])
     return map_arrow(rows, run, schema)
 
 
@@ -263,6 +263,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return score(docs, weights, weak, text_col, [id_col]).withColumn("keep", F.col("quality") >= 0.5)
 
 
+def good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the scorer keeps, with their columns."""
+    weights, weak = fit(docs, id_col, text_col)
+    return score(docs, weights, weak, text_col, out=("_quality", "_weak")).filter(F.col("_quality") >= 0.5).drop("_quality", "_weak")
+
+
 def query(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"))
 

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import map_arrow, slices, stage, table
 
@@ -337,8 +338,8 @@ class Scorer(Words):
 _SCORERS: dict[str, Scorer] = {}
 
 
-def score(docs: DataFrame, model: np.ndarray, weights: dict[str, float], line: tuple[float, float], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with a column score; ``keep``: the columns to keep, all by default."""
+def score(docs: DataFrame, model: np.ndarray, weights: dict[str, float], line: tuple[float, float], text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """``docs`` with a column ``out``; ``keep``: the columns to keep, all by default."""
     rows = docs.select(*(keep if keep is not None else docs.columns), F.col(text_col).cast("string").alias("_text"))
     names = rows.columns[:-1]
     fit = uuid.uuid4().hex  # a worker keeps its tokens from task to task
@@ -351,11 +352,9 @@ def score(docs: DataFrame, model: np.ndarray, weights: dict[str, float], line: t
         for batch in batches:
             for part in slices(batch, "_text", SLICE_BYTES):
                 got = scorer.scores(part.column("_text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(got, pa.float64())], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(got, pa.float64())], names=[*names, out])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return map_arrow(rows, run, StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())]))
+    return map_arrow(rows, run, StructType([*rows.schema.fields[:-1], StructField(out, DoubleType())]))
 
 
 def fold(id_col) -> F.Column:
@@ -386,6 +385,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.select(id_col, (fold(F.col(id_col)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def not_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, with their columns."""
+    model, weights, line = fit(docs, labels, id_col, text_col, label_col)
+    return score(docs, model, weights, line, text_col, out="_toxicity").filter(F.col("_toxicity") < 0.5).drop("_toxicity")
+
+
 def query(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
