@@ -1,9 +1,10 @@
 """Similarity join of documents on their sets of word n-grams, by multiple global token orders.
 
-Under any total order of tokens, two sets of Jaccard similarity t or more share a token among the first
-n - ceil(t * n) + 1 tokens of each (their prefixes). The join demands that for two different orders at once: the first
-order's prefixes make the candidates, the second order's prefixes must overlap too, and only pairs that pass both
-filters are verified on the whole sets. Both orders put rare tokens first, by classes of a count sketch over all
+Under any total order of tokens, two sets of Jaccard similarity t or more share at least l tokens among the first
+n - ceil(t * n) + l tokens of each (their prefixes; l grows with n, and the smaller of the two l holds). The join demands
+that for two different orders at once: the first order's prefixes make the candidates, the second order's prefixes must
+share l tokens too, and only pairs that pass both filters are verified on the whole sets. A document of whose prefix
+fewer than l tokens occur in any other prefix leaves at once. Both orders put rare tokens first, by classes of a count sketch over all
 documents, and break ties by different hashes; a passage that thousands of documents share thus stays out of prefixes,
 while two orders rarely let the same chance meeting through.
 
@@ -79,9 +80,14 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def least_shared(n: int, percent: int) -> int:
+    """l of a set of n tokens: a third of the tokens that it can lack, and one."""
+    return 1 + n * (100 - percent) // 300
+
+
 def prefix(tokens: np.ndarray, classes: np.ndarray, percent: int, seed: int) -> np.ndarray:
     """The first tokens under the order (class, seeded hash)."""
-    most = len(tokens) - required(len(tokens), percent) + 1
+    most = len(tokens) - required(len(tokens), percent) + least_shared(len(tokens), percent)
     order = (classes[(tokens >> U(40)).astype(np.int64) & (len(classes) - 1)].astype(np.uint64) << U(56)) | (_mix(tokens, seed) >> U(8))
     return tokens if most >= len(tokens) else tokens[np.argpartition(order, most - 1)[:most]]
 
@@ -157,11 +163,16 @@ def _sets(texts: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFr
     return map_arrow(texts, run, "s binary, tokens array<long>, second array<long>")
 
 
+def _least_shared(n, percent: int) -> F.Column:
+    return 1 + F.floor(n * (100 - percent) / 300)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of distinct pairs (a, b) those that are similar: first the second order's prefixes, then the whole sets."""
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("second").alias(f"second_{side}")), side)
-    pairs = pairs.filter(F.arrays_overlap("second_a", "second_b")).select("a", "b", "n_a", "n_b")
+    shared = F.size(F.array_intersect("second_a", "second_b"))
+    pairs = pairs.filter(shared >= _least_shared(F.least("n_a", "n_b"), percent)).select("a", "b", "n_a", "n_b")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("tokens").alias(f"set_{side}")), side)
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -199,8 +210,14 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
 
     meets = nodes.select("node", "n", F.explode("tokens").alias("token"))
-    first = meets.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "node")).alias("first")).filter(F.col("k") > 1)
-    met = stage(meets.join(first.select("token", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")), "token"), "join-met")
+    common = meets.groupBy("token").count().filter(F.col("count") > 1).select("token")
+    shared = stage(meets.join(common, "token"), "join-shared")
+    smallest = F.ceil(F.col("n") * percent / 100)  # the least size of a similar set
+    alive = shared.groupBy("node", "n").count().filter(F.col("count") >= _least_shared(smallest, percent)).select("node")
+    shared_alive = stage(shared.join(alive, "node"), "join-alive")
+    first = shared_alive.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "node")).alias("first")).filter(F.col("k") > 1)
+    met = stage(shared_alive.join(first.select("token", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")), "token"), "join-met")
+    unstage(shared)
 
     def long_enough(short, long):
         return 100 * F.least(short, long) >= percent * F.greatest(short, long)
