@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the class [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -30,10 +31,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut, and a lost executor costs no recomputation."""
+    """Write ``df`` to the shared folder and read it again: lineage is cut, and a lost executor costs no recomputation.
+
+    The write's own shuffle files go when it has ended; nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -38,7 +38,7 @@ from .common import map_arrow, slices, stage, table, unstage
 
 SLICE_BYTES = 8 << 20
 #: Counters of the sketch, and the rows in which a partition's counts are sent.
-COUNTERS, CHUNKS = 1 << 18, 64
+COUNTERS, CHUNKS = 1 << 20, 64
 KEPT_WORDS = 500_000
 U = np.uint64
 
@@ -81,8 +81,8 @@ def required(n: int, percent: int) -> int:
 
 
 def least_shared(n: int, percent: int) -> int:
-    """l of a set of n tokens: a third of the tokens that it can lack, and one."""
-    return 1 + n * (100 - percent) // 300
+    """l of a set of n tokens: half of the tokens that it can lack, and one."""
+    return 1 + n * (100 - percent) // 200
 
 
 def prefix(tokens: np.ndarray, classes: np.ndarray, percent: int, seed: int) -> np.ndarray:
@@ -164,7 +164,7 @@ def _sets(texts: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFr
 
 
 def _least_shared(n, percent: int) -> F.Column:
-    return 1 + F.floor(n * (100 - percent) / 300)
+    return 1 + F.floor(n * (100 - percent) / 200)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,9 +207,12 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     signed = stage(_signatures(texts, classes, n, percent), "join-signed")
 
     nodes = signed.filter(F.col("s").isNotNull()).groupBy("s").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
+    wide = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes-wide")
+    thin = stage(signed.select("id", "n", "s"), "join-rows")
+    unstage(signed)
+    signed, nodes = thin, stage(wide.select("node", "s", "id", "n"), "join-nodes")
 
-    meets = nodes.select("node", "n", F.explode("tokens").alias("token"))
+    meets = wide.select("node", "n", F.explode("tokens").alias("token"))
     common = meets.groupBy("token").count().filter(F.col("count") > 1).select("token")
     shared = stage(meets.join(common, "token"), "join-shared")
     smallest = F.ceil(F.col("n") * percent / 100)  # the least size of a similar set
@@ -218,6 +221,8 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     first = shared_alive.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "node")).alias("first")).filter(F.col("k") > 1)
     met = stage(shared_alive.join(first.select("token", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")), "token"), "join-met")
     unstage(shared)
+    unstage(shared_alive)
+    unstage(wide)
 
     def long_enough(short, long):
         return 100 * F.least(short, long) >= percent * F.greatest(short, long)
