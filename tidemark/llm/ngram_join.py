@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from .bloom import MAX_FILTER_BYTES, Level
 from .common import map_arrow, slices, stage, table, unstage
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 #: Counters of the sketch, and the rows in which a partition's counts are sent.
 COUNTERS, CHUNKS = 1 << 20, 64
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 U = np.uint64
 
 
@@ -151,7 +151,7 @@ def _sets(texts: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFr
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 4):
+            for part in slices(batch, "text", SLICE_BYTES // 2):
                 sets = [x for t in part.column("text").to_pylist() if len(x := shingles(t, n))]
                 lists = []
                 for of in (sets, [prefix(x, classes, percent, 2) for x in sets]):
