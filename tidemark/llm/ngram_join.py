@@ -9,8 +9,8 @@ documents, and break ties by different hashes; a passage that thousands of docum
 while two orders rarely let the same chance meeting through.
 
 Hot groups. Documents with the same set are one node. The nodes that share a token are first linked to the smallest of
-them only, verified and joined to components; after that, only pairs of nodes that share a token and lie in different
-components are verified. A group of thousands of near copies thus costs one verification each, not one for each pair,
+them only, verified and joined to components; those that stay apart then try other members of that node's component,
+one a round; after that, only pairs of nodes that share enough tokens and lie in different components are verified. A group of thousands of near copies thus costs one verification each, not one for each pair,
 and no link between different texts is lost. No pair within a component is ever emitted.
 
 Sets are kept as 64-bit hashes of tokens, nodes as 128-bit hashes of sets; texts are read three times (sketch, prefixes,
@@ -97,7 +97,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def rarity_classes(texts: DataFrame, n: int) -> np.ndarray:
-    """A class for each counter: 0 up to twice the mean count of tokens, one more for each doubling."""
+    """A class for each counter: 128 at the mean count, 16 for each doubling.
+
+    A counter holds its token's frequency and the noise of those that share it; a prefix takes the lowest counters, so
+    tokens whose frequency stands out of the noise (its deviation is the root of the mean) don't get into prefixes.
+    """
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
@@ -124,7 +128,7 @@ def rarity_classes(texts: DataFrame, n: int) -> np.ndarray:
     for row in sums.collect():  # CHUNKS rows
         counts[row.chunk] += np.frombuffer(row.n, "<i8")
     counts = counts.ravel()
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / max(1.0, counts.mean()))), 0, 63).astype(np.uint8)
+    return np.clip(np.rint(16 * np.log2(np.maximum(counts, 1) / max(1.0, counts.mean()))) + 128, 0, 255).astype(np.uint8)
 
 
 def _signatures(texts: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -200,6 +204,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: At most so many rounds of the search for links to main components; what is left is compared in whole groups.
+ROUNDS = 6
+
+
+def _placed(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """``met`` with the component of each node and of its token's first node."""
+    placed = met.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    of_first = parts.select(F.col("node").alias("first"), F.col("component").alias("first_part"))
+    placed = placed.join(of_first, "first", "left").withColumn("first_part", F.coalesce("first_part", "first"))
+    return stage(placed.select("token", "node", "n", "part", "first_part", "first"), "join-placed")
+
+
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_shingles, component_id (the smallest id reachable by links of similarity percent / 100)."""
     texts = _texts(docs, id_col, text_col)
@@ -242,16 +258,31 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     links = stage(_verified(hubs, sets, percent), "join-links")
     parts = components(links)
 
-    placed = met.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    hub_part = parts.select(F.col("node").alias("first"), F.col("component").alias("first_part"))
-    placed = placed.join(hub_part, "first", "left").withColumn("first_part", F.coalesce("first_part", "first"))
-    placed = stage(placed.select("token", "node", "n", "part", "first_part", "first"), "join-placed")
+    # Nodes outside their group's main component try other members of it, one a round, before whole groups are compared.
+    placed = _placed(met, parts)
+    minor = placed.filter(F.col("part") != F.col("first_part")).select("token", "node", "n")
+    for turn in range(ROUNDS):
+        main = placed.filter((F.col("part") == F.col("first_part")) & (F.col("node") != F.col("first")))
+        pick = main.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")).alias("hub"))
+        tries = stage(minor.join(pick, "token").select("token", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "join-tries")
+        pairs = tries.filter(long_enough(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        new = stage(_verified(pairs, sets, percent), "join-links")
+        links = links.unionByName(new)
+        found = new.count()
+        if found * 20 < tries.select("node").distinct().count():
+            break
+        minor = stage(minor.join(tries.join(new, (tries.hub == new.a) & (tries.node == new.b)).select("token", "node"), ["token", "node"], "left_anti"), "join-minor")
+    parts = components(links)
+
+    placed = _placed(met, parts)
     left = placed.filter((F.col("part") != F.col("first_part"))).select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("part").alias("x_part"))
     right = placed.filter(F.col("node") != F.col("first")).select("token", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("part").alias("y_part"), (F.col("part") != F.col("first_part")).alias("y_minor"))
     rest = left.join(right, "token").filter(
         (F.col("x_part") != F.col("y_part")) & (~F.col("y_minor") | (F.col("x") < F.col("y"))) & long_enough(F.col("x_n"), F.col("y_n"))
     )
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    need = _least_shared(F.least("x_n", "y_n"), percent)
+    rest = rest.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), need.alias("need")).count()
+    rest = rest.filter(F.col("count") >= F.col("need")).select("a", "b")
     more = stage(_verified(rest, sets, percent), "join-links")
     if not more.isEmpty():
         parts = components(links.unionByName(more))
