@@ -2,8 +2,9 @@
 
 Distribution: a unigram model over the vocabulary of a SentencePiece file. That file's scores are merge ranks, so a
 piece's probability follows Zipf's law over its rank: log p = -log(2 + rank), where rank is the score's distance from 0;
-a character that no piece covers is spelt in byte pieces of log p = BYTE_LOGP each. Cut as in ``unigram``: a text's
-lattice is the chain of its segments' lattices.
+a character that no piece covers is spelt in byte pieces of log p = BYTE_LOGP each. As in SentencePiece, spaces become
+marks and one more is put in front of every text, which decoding takes away; a text's lattice is the chain of the
+lattices of its segments, each of which starts at a mark.
 
 Search: Gumbel top-k over the complete segmentations of the whole text, as a perturbed A-star search. A node of the
 search tree is a set of segmentations (all that continue a prefix, but for excluded next pieces); its key is the largest
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, table
-from .unigram import MARK, model_path, pieces, segments
+from .unigram import MARK, model_path, pieces
 
 K = 2
 SEED = 20
@@ -208,7 +209,7 @@ class Slice:
             if not t:
                 sizes.append(0)
                 continue
-            got = [place(s, len(index)) for s in segments(t)]
+            got = [place(s, len(index)) for s in t.replace(" ", MARK).split(MARK)]
             flat += got
             sizes.append(len(got))
         self.sizes = np.array(sizes, np.int64)
