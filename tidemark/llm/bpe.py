@@ -7,16 +7,17 @@ differ, are handed to the library whole.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 
 import numpy as np
 import public_tokenizers
 
+from .common import store
+
 FILE = "byte_bpe_50k.json"
 END_ID = 0
-KEPT = 1_000_000
+KEPT = 600_000
 #: Latin letters, common punctuation and currency signs: nothing whose class changed between Unicode versions.
 SAFE = re.compile("[\x00-ɏ‐-‧‰-⁞€]*")
 
@@ -67,6 +68,5 @@ class Encoder(dict):
         return np.frombuffer(body, self.dtype)
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return store(("bpe", path), lambda: Encoder(path))

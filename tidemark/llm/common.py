@@ -55,6 +55,17 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_STORE: dict = {}
+
+
+def store(key, make: Callable):
+    """What a Python worker keeps from task to task: one operator's store at a time."""
+    if key not in _STORE:
+        _STORE.clear()
+        _STORE[key] = make()
+    return _STORE[key]
+
+
 _shipped: set[str] = set()
 
 

@@ -23,7 +23,6 @@ their own that share the id. A null id never is a component's id unless all its
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import MAX_FILTER_BYTES, Level
-from .common import map_arrow, slices, stage, table, unstage
+from .common import map_arrow, slices, stage, store, table, unstage
 
 SLICE_BYTES = 3 << 20
 #: Counters of the sketch, and the rows in which a partition's counts are sent.
@@ -51,9 +50,8 @@ class WordHashes(dict):
         return out
 
 
-@functools.cache
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return store("word hashes", WordHashes)
 
 
 def _mix(x: np.ndarray, by: int) -> np.ndarray:

@@ -21,7 +21,6 @@ they don't depend on batches, partitions or retries.
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table
+from .common import map_arrow, slices, store, table
 from .unigram import MARK, model_path, pieces
 
 K = 2
@@ -191,9 +190,8 @@ class Lattices:
         return text[1:] if text.startswith(" ") else text
 
 
-@functools.cache
 def lattices(path: str) -> Lattices:
-    return Lattices(path)
+    return store(("lattices", path), lambda: Lattices(path))
 
 
 class Slice:

@@ -31,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import map_arrow, slices, stage, table
+from .common import map_arrow, slices, stage, store, table
 
 #: Bounds of the labelled sample, toxic and not; rows are taken in the order of a hash of their id.
 TRAIN_TOXIC, TRAIN_OTHER = 4_000, 8_000
 LEAST_DOCS, LEAST_ODDS = 3, 3.0
 PREFIXES = (4, 5, 6, 7)
 FOLDS = 5
-KEPT_TOKENS = 600_000
-SLICE_BYTES = 8 << 20
+KEPT_TOKENS = 300_000
+SLICE_BYTES = 4 << 20
 
 # Letters that a character is used for, besides itself.
 LOOK_ALIKES = {
@@ -335,9 +335,6 @@ class Scorer(Words):
         return [1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, offset + slope * e)))) for e in self.evidence(texts)]
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, model: np.ndarray, weights: dict[str, float], line: tuple[float, float], text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """``docs`` with a column ``out``; ``keep``: the columns to keep, all by default."""
     rows = docs.select(*(keep if keep is not None else docs.columns), F.col(text_col).cast("string").alias("_text"))
@@ -345,10 +342,7 @@ def score(docs: DataFrame, model: np.ndarray, weights: dict[str, float], line: t
     fit = uuid.uuid4().hex  # a worker keeps its tokens from task to task
 
     def run(batches):
-        if fit not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[fit] = Scorer(model, weights, line)
-        scorer = _SCORERS[fit]
+        scorer = store(("toxicity", fit), lambda: Scorer(model, weights, line))
         for batch in batches:
             for part in slices(batch, "_text", SLICE_BYTES):
                 got = scorer.scores(part.column("_text").to_pylist())

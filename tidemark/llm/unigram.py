@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table
+from .common import map_arrow, slices, store, table
 
 MARK = "▁"
 #: Fixed value: an unknown character scores this much below the lowest piece.
@@ -100,9 +100,8 @@ class CountViterbi(dict):
         return sum(map(self.__getitem__, segments(text)), 0j) if text else 0j
 
 
-@functools.cache
 def counter(path: str) -> CountViterbi:
-    return CountViterbi(path)
+    return store(("unigram", path), lambda: CountViterbi(path))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
