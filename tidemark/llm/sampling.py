@@ -199,20 +199,16 @@ class Slice:
 
     def __init__(self, lat: Lattices, keys: np.ndarray, texts: list[str], seed: int):
         self.lat, self.keys, self.seed = lat, keys, seed
-        index: dict[str, int] = {}
-        place = index.setdefault
-        flat: list[int] = []
+        every: list[str] = []
         sizes = []
         for t in texts:
-            if not t:
-                sizes.append(0)
-                continue
-            got = [place(s, len(index)) for s in t.replace(" ", MARK).split(MARK)]
-            flat += got
+            got = t.replace(" ", MARK).split(MARK) if t else []
+            every += got
             sizes.append(len(got))
+        index = {s: i for i, s in enumerate(dict.fromkeys(every))}
         self.sizes = np.array(sizes, np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        word = np.array(flat, np.int64)
+        word = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
         self.n = len(word)
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         self.rank = np.arange(self.n) - self.first[self.doc]
