@@ -88,6 +88,22 @@ def test_ngram_components_of_many_near_copies(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == _brute_components(rows, 3, 90)
 
+def test_ngram_components_of_copies_that_share_changes(spark):
+    """Chains away from an original: many links are between copies, few with the original itself."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in range(int(rng.integers(60, 160)))]
+        changes = [(int(at), f"g{group}c{at}x{k}") for k, at in enumerate(rng.integers(0, len(base), 14))]
+        for _ in range(70):
+            w = list(base)
+            for c in rng.choice(14, int(rng.integers(0, 9)), replace=False):
+                w[changes[c][0]] = changes[c][1]
+            rows.append((len(rows), " ".join(w[int(rng.integers(0, 4)) : len(w) - int(rng.integers(0, 9))])))
+    for n, percent in ((3, 90), (5, 80)):
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()), key=str)
+        assert got == _brute_components(rows, n, percent)
+
 
 def test_range_coder_round_trip():
     rng = np.random.default_rng(0)

@@ -8,10 +8,12 @@ fewer than l tokens occur in any other prefix leaves at once. Both orders put ra
 documents, and break ties by different hashes; a passage that thousands of documents share thus stays out of prefixes,
 while two orders rarely let the same chance meeting through.
 
-Hot groups. Documents with the same set are one node. The nodes that share a token are first linked to the smallest of
-them only, verified and joined to components; those that stay apart then try other members of that node's component,
-one a round; after that, only pairs of nodes that share enough tokens and lie in different components are verified. A group of thousands of near copies thus costs one verification each, not one for each pair,
-and no link between different texts is lost. No pair within a component is ever emitted.
+Hot groups. Documents with the same set are one node. The nodes that share a token are first compared with one of them
+only, the hub, which has the fewest tokens of its own; links make components. Two nodes of a hub that lie in different
+components are then compared by their differences from it: sets differ as much as their differences from a third set do,
+so of two similar nodes, at least one of them not linked with the hub, the differences must share tokens among the first
+of an order, too. Copies that were changed in different places share few of these. A group of thousands of near copies
+thus costs about one verification each, not one for each pair, and no link between different texts is lost.
 
 Sets are kept as 64-bit hashes of tokens, nodes as 128-bit hashes of sets; texts are read three times (sketch, prefixes,
 sets of candidates only) instead of storing all sets.
@@ -83,11 +85,14 @@ def least_shared(n: int, percent: int) -> int:
     return 1 + n * (100 - percent) // 200
 
 
+def _order(tokens: np.ndarray, classes: np.ndarray, seed: int) -> np.ndarray:
+    return (classes[(tokens >> U(40)).astype(np.int64) & (len(classes) - 1)].astype(np.uint64) << U(56)) | (_mix(tokens, seed) >> U(8))
+
+
 def prefix(tokens: np.ndarray, classes: np.ndarray, percent: int, seed: int) -> np.ndarray:
     """The first tokens under the order (class, seeded hash)."""
     most = len(tokens) - required(len(tokens), percent) + least_shared(len(tokens), percent)
-    order = (classes[(tokens >> U(40)).astype(np.int64) & (len(classes) - 1)].astype(np.uint64) << U(56)) | (_mix(tokens, seed) >> U(8))
-    return tokens if most >= len(tokens) else tokens[np.argpartition(order, most - 1)[:most]]
+    return tokens if most >= len(tokens) else tokens[np.argpartition(_order(tokens, classes, seed), most - 1)[:most]]
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -202,16 +207,43 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-#: At most so many rounds of the search for links to main components; what is left is compared in whole groups.
-ROUNDS = 6
+def _differences(met: DataFrame, sets: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
+    """A row for each token of the prefix of the difference between a node's set and its hub's, of d tokens.
 
+    Let k = (1 - t) / (1 + t), so that sets of x and y tokens are similar if they differ in k * (x + y) tokens at most,
+    and let s = d - k * (n + hub_n), above 0 for a node that isn't linked with its hub. The differences of two similar
+    nodes x (not linked) and y share at least max(1, s_x / (1 + k), (1 - k) * d_y / 2) tokens, and if y isn't linked
+    either, also (1 - k) * d_x / 2. So a linked node has one prefix, always ``core``; one that isn't linked has a longer
+    prefix to meet linked nodes, of which the ``core`` meets the others.
+    """
+    for side, key in (("x", "node"), ("h", "hub")):
+        met = met.join(sets.select(F.col("node").alias(key), F.col("tokens").alias(f"set_{side}")), key)
+    differ = met.select("hub", "hub_n", "node", "n", "part", F.concat(F.array_except("set_x", "set_h"), F.array_except("set_h", "set_x")).alias("differ"))
+    k = (100 - percent) / (100 + percent)
 
-def _placed(met: DataFrame, parts: DataFrame) -> DataFrame:
-    """``met`` with the component of each node and of its token's first node."""
-    placed = met.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    of_first = parts.select(F.col("node").alias("first"), F.col("component").alias("first_part"))
-    placed = placed.join(of_first, "first", "left").withColumn("first_part", F.coalesce("first_part", "first"))
-    return stage(placed.select("token", "node", "n", "part", "first_part", "first"), "join-placed")
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("differ")
+            ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
+            d = np.diff(ends)
+            both = np.asarray(batch.column("n")) + np.asarray(batch.column("hub_n"))
+            s = d - k * both
+            linked = d * (100 + percent) <= (100 - percent) * both
+            half = (1 - k) * d / 2
+            core = d + 1 - np.maximum(1, np.ceil(np.maximum(half, s / (1 + k)) - 1e-6)).astype(np.int64)
+            most = np.where(linked, core, d + 1 - np.maximum(1, np.ceil(s / (1 + k) - 1e-6)).astype(np.int64))
+            first = []
+            for i, j, m in zip(ends[:-1].tolist(), ends[1:].tolist(), most.tolist(), strict=True):
+                first.append(flat[i:j][np.argsort(_order(flat[i:j], classes, 1))[:m]])
+            n = np.array([len(x) for x in first], np.int64)
+            at = np.repeat(np.arange(len(n)), n)
+            rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            columns = {c: batch.column(c).take(pa.array(at)) for c in ("hub", "node", "n", "part")}
+            columns |= {"d": pa.array(d[at].astype(np.int64)), "linked": pa.array(linked[at]), "core": pa.array(rank < core[at])}
+            columns["token"] = pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return map_arrow(differ, run, "hub long, node long, n long, part long, d long, linked boolean, core boolean, token long")
 
 
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,14 +258,16 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     unstage(signed)
     signed, nodes = thin, stage(wide.select("node", "s", "id", "n"), "join-nodes")
 
-    meets = wide.select("node", "n", F.explode("tokens").alias("token"))
+    meets = wide.select("node", "n", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     common = meets.groupBy("token").count().filter(F.col("count") > 1).select("token")
     shared = stage(meets.join(common, "token"), "join-shared")
     smallest = F.ceil(F.col("n") * percent / 100)  # the least size of a similar set
-    alive = shared.groupBy("node", "n").count().filter(F.col("count") >= _least_shared(smallest, percent)).select("node")
-    shared_alive = stage(shared.join(alive, "node"), "join-alive")
-    first = shared_alive.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "node")).alias("first")).filter(F.col("k") > 1)
-    met = stage(shared_alive.join(first.select("token", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")), "token"), "join-met")
+    alive = shared.groupBy("node", "n", "size").count().filter(F.col("count") >= _least_shared(smallest, percent)).select("node", (F.col("size") - F.col("count")).alias("lonely"))
+    shared_alive = stage(shared.drop("size").join(alive, "node"), "join-alive")
+    # An original that others were made from has few tokens of its own, so it becomes the hub of its tokens.
+    hubs = shared_alive.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("lonely", "n", "node")).alias("hub")).filter(F.col("k") > 1)
+    met = shared_alive.select("token", "node", "n").join(hubs.select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "token")
+    met = stage(met.filter(F.col("node") != F.col("hub")).select("hub", "hub_n", "node", "n").distinct(), "join-met")
     unstage(shared)
     unstage(shared_alive)
     unstage(wide)
@@ -241,10 +275,7 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     def long_enough(short, long):
         return 100 * F.least(short, long) >= percent * F.greatest(short, long)
 
-    hubs = met.filter((F.col("node") != F.col("first")) & long_enough(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    hubs = stage(hubs, "join-hubs")
-
-    active = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "s", "n", "id")
+    active = nodes.join(met.select("node").union(met.select("hub")).distinct(), "node", "left_semi").select("node", "s", "n", "id")
     active = stage(active, "join-active")
     count = active.count()
     chosen = texts
@@ -253,34 +284,20 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     sets = _sets(chosen, classes, n, percent).groupBy("s").agg(F.first("tokens").alias("tokens"), F.first("second").alias("second"))
     sets = stage(active.select("node", "s", "n").join(sets, "s").drop("s"), "join-sets")
 
+    hubs = met.filter(long_enough(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     links = stage(_verified(hubs, sets, percent), "join-links")
     parts = components(links)
 
-    # Nodes outside their group's main component try other members of it, one a round, before whole groups are compared.
-    placed = _placed(met, parts)
-    minor = placed.filter(F.col("part") != F.col("first_part")).select("token", "node", "n")
-    for turn in range(ROUNDS):
-        main = placed.filter((F.col("part") == F.col("first_part")) & (F.col("node") != F.col("first")))
-        pick = main.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")).alias("hub"))
-        tries = stage(minor.join(pick, "token").select("token", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "join-tries")
-        pairs = tries.filter(long_enough(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        new = stage(_verified(pairs, sets, percent), "join-links")
-        links = links.unionByName(new)
-        found = new.count()
-        if found * 20 < tries.select("node").distinct().count():
-            break
-        minor = stage(minor.join(tries.join(new, (tries.hub == new.a) & (tries.node == new.b)).select("token", "node"), ["token", "node"], "left_anti"), "join-minor")
-    parts = components(links)
-
-    placed = _placed(met, parts)
-    left = placed.filter((F.col("part") != F.col("first_part"))).select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("part").alias("x_part"))
-    right = placed.filter(F.col("node") != F.col("first")).select("token", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("part").alias("y_part"), (F.col("part") != F.col("first_part")).alias("y_minor"))
-    rest = left.join(right, "token").filter(
-        (F.col("x_part") != F.col("y_part")) & (~F.col("y_minor") | (F.col("x") < F.col("y"))) & long_enough(F.col("x_n"), F.col("y_n"))
-    )
-    need = _least_shared(F.least("x_n", "y_n"), percent)
-    rest = rest.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), need.alias("need")).count()
-    rest = rest.filter(F.col("count") >= F.col("need")).select("a", "b")
+    # Members of a hub that lie in different components are similar only if their differences from the hub are much alike.
+    placed = met.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    placed = stage(placed, "join-placed")
+    several = placed.groupBy("hub").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("hub")
+    differ = stage(_differences(placed.join(several, "hub"), sets, classes, percent), "join-differences")
+    x, y = (differ.select("hub", "token", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "part", "d", "linked", "core"))) for side in "xy")
+    near = (100 + percent) * F.abs(F.col("x_d") - F.col("y_d")) <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
+    meet = (F.col("x_core") | F.col("y_linked")) & (F.col("y_core") | F.col("x_linked"))
+    rest = x.join(y, ["hub", "token"]).filter(meet & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & near & long_enough(F.col("x_n"), F.col("y_n")))
+    rest = stage(rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "join-rest")
     more = stage(_verified(rest, sets, percent), "join-links")
     if not more.isEmpty():
         parts = components(links.unionByName(more))
