@@ -213,7 +213,7 @@ def _differences(met: DataFrame, sets: DataFrame, classes: np.ndarray, percent:
     Let k = (1 - t) / (1 + t), so that sets of x and y tokens are similar if they differ in k * (x + y) tokens at most,
     and let s = d - k * (n + hub_n), above 0 for a node that isn't linked with its hub. The differences of two similar
     nodes x (not linked) and y share at least max(1, s_x / (1 + k), (1 - k) * d_y / 2) tokens, and if y isn't linked
-    either, also (1 - k) * d_x / 2. So a linked node has one prefix, always ``core``; one that isn't linked has a longer
+    either, also (1 - k) * d_x / 2. Tokens have their ``rank`` in the order. So a linked node has one prefix, always ``core``; one that isn't linked has a longer
     prefix to meet linked nodes, of which the ``core`` meets the others.
     """
     for side, key in (("x", "node"), ("h", "hub")):
@@ -239,11 +239,11 @@ def _differences(met: DataFrame, sets: DataFrame, classes: np.ndarray, percent:
             at = np.repeat(np.arange(len(n)), n)
             rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             columns = {c: batch.column(c).take(pa.array(at)) for c in ("hub", "node", "n", "part")}
-            columns |= {"d": pa.array(d[at].astype(np.int64)), "linked": pa.array(linked[at]), "core": pa.array(rank < core[at])}
+            columns |= {"d": pa.array(d[at].astype(np.int64)), "linked": pa.array(linked[at]), "core": pa.array(rank < core[at]), "rank": pa.array(rank)}
             columns["token"] = pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64))
             yield pa.RecordBatch.from_pydict(columns)
 
-    return map_arrow(differ, run, "hub long, node long, n long, part long, d long, linked boolean, core boolean, token long")
+    return map_arrow(differ, run, "hub long, node long, n long, part long, d long, linked boolean, core boolean, rank long, token long")
 
 
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,10 +293,13 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     placed = stage(placed, "join-placed")
     several = placed.groupBy("hub").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("hub")
     differ = stage(_differences(placed.join(several, "hub"), sets, classes, percent), "join-differences")
-    x, y = (differ.select("hub", "token", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "part", "d", "linked", "core"))) for side in "xy")
+    x, y = (differ.select("hub", "token", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "part", "d", "linked", "core", "rank"))) for side in "xy")
     near = (100 + percent) * F.abs(F.col("x_d") - F.col("y_d")) <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
     meet = (F.col("x_core") | F.col("y_linked")) & (F.col("y_core") | F.col("x_linked"))
-    rest = x.join(y, ["hub", "token"]).filter(meet & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & near & long_enough(F.col("x_n"), F.col("y_n")))
+    # If a token is the first that two differences share, they share no more than what follows in each.
+    most = F.least(F.col("x_d") - F.col("x_rank"), F.col("y_d") - F.col("y_rank"))
+    enough = 2 * (100 + percent) * most >= (100 + percent) * (F.col("x_d") + F.col("y_d")) - (100 - percent) * (F.col("x_n") + F.col("y_n"))
+    rest = x.join(y, ["hub", "token"]).filter(meet & enough & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & near & long_enough(F.col("x_n"), F.col("y_n")))
     rest = stage(rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "join-rest")
     more = stage(_verified(rest, sets, percent), "join-links")
     if not more.isEmpty():
