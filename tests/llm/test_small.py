@@ -224,6 +224,13 @@ def test_restoring():
     assert list(toxicity.spaced_out("so i d i o t it is")) == ["idiot"]
 
 
+def test_doubled_letters_are_undone():
+    model = np.zeros((toxicity.CLASSES, toxicity.CLASSES))
+    weights = {f: 4.0 for w in ("moron", "scum", "trash", "asshole") for f in toxicity.features(w)}
+    got = toxicity.Scorer(model, weights).evidence(["a mooron", "ssccuumm", "ttrash", "morron", "aasshhole", "m00ron", "a maroon", "asshole"])
+    assert got == [4.0, 4.0, 4.0, 4.0, 4.0, 4.0, 0.0, 4.0]
+
+
 def test_toxicity_and_quality_on_labelled_documents(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))

@@ -4,9 +4,11 @@ Restoring. A token is what a channel made of a word: letters became look-alikes
 letter was repeated, or the letters were spaced out. Its lattice holds, for each character, the letters that it could
 stand for and, for separators and repetitions, nothing at all; Viterbi decoding under a character bigram model finds the
 likeliest word. The model's counts are gathered over all texts of the table. Tokens of plain letters without runs of
-three have a lattice of one path and are taken as they are. Distinct tokens are decoded together, as vectors.
+three are taken as they are. Distinct tokens are decoded together, as vectors.
 
-Scoring. Features of a restored word are itself and its prefixes. Those that mark toxic texts are learnt from a bounded
+Scoring. Features of a restored word are itself and its prefixes, and the same of its collapsed form, which holds one
+letter of each run of equal ones: whichever letters were doubled, and whether the word has double letters of its own or
+not, the collapsed form stays the same. Those that mark toxic texts are learnt from a bounded
 sample of labelled rows: they must occur in at least LEAST_DOCS toxic texts, behind many different words (so that what
 copies of one text share doesn't count), with log odds of at least LEAST_ODDS against texts that aren't toxic. The score
 is a logistic function of the sum, over the text's distinct words, of each word's strongest log odds; its slope and
@@ -55,6 +57,7 @@ NOTHING = math.log(0.0005)
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 CLASSES = len(LETTERS) + 2  # 0: outside a word; last: any other letter
 TRIPLE = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"(.)\1+")
 #: Single characters between spaces, four or more.
 SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S)){3,}")
 
@@ -184,7 +187,7 @@ def spaced_out(text: str) -> Iterable[str]:
 
 
 def plain(token: str) -> str | None:
-    """The word, where the token's lattice has one path."""
+    """The word, where the token is plain letters; features() undoes doubled ones."""
     word = token.strip(EDGES)
     if word.isalpha() and not TRIPLE.search(word):
         return word
@@ -193,7 +196,11 @@ def plain(token: str) -> str | None:
 
 
 def features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}+" for n in PREFIXES if len(word) > n)] if len(word) >= 3 else []
+    if len(word) < 3:
+        return []
+    once = DOUBLE.sub(r"\1", word)
+    forms = (word,) if once == word else (word, once)
+    return list(dict.fromkeys(f for w in forms for f in (w, *(f"{w[:n]}+" for n in PREFIXES if len(w) > n))))
 
 
 class Words(dict):
