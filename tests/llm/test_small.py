@@ -231,6 +231,16 @@ def test_doubled_letters_are_undone():
     assert got == [4.0, 4.0, 4.0, 4.0, 4.0, 4.0, 0.0, 4.0]
 
 
+def test_words_are_found_across_white_space():
+    model = np.zeros((toxicity.CLASSES, toxicity.CLASSES))
+    weights = {f: 4.0 for w in ("moron", "scum", "idiot") for f in toxicity.features(w)}
+    scorer = toxicity.Scorer(model, weights)
+    once = ["he is a m o r o n", "y o u m o r o n", "m  o  r  o  n", "m\to\tr\to\tn", "m\no\nr\no\nn y o u", "a mo ron!", "m oo ro n", "m. o. r. o. n.", "s c u m y o u", "moron m o r o n", "i d i o t s"]
+    assert scorer.evidence(once) == [4.0] * len(once)
+    assert scorer.evidence(["y o u s c u m i d i o t", "more on scu", "a b c d e", "", None]) == [8.0, 0.0, 0.0, 0.0, 0.0]
+    assert toxicity.Scorer(model, weights | {" moron": 0.0}).evidence(["mo ron", "a moron", "sc um"]) == [0.0, 4.0, 4.0]
+
+
 def test_toxicity_and_quality_on_labelled_documents(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))

@@ -8,7 +8,10 @@ three are taken as they are. Distinct tokens are decoded together, as vectors.
 
 Scoring. Features of a restored word are itself and its prefixes, and the same of its collapsed form, which holds one
 letter of each run of equal ones: whichever letters were doubled, and whether the word has double letters of its own or
-not, the collapsed form stays the same. Those that mark toxic texts are learnt from a bounded
+not, the collapsed form stays the same. Words have no certain borders where a text is spaced out or cut: a run of single
+characters, with any white space between them, is decoded as one, and learnt words are sought at every place within; so
+they are in what neighbouring tokens spell together exactly. Such a find counts with the word's log odds against texts
+in which it occurs in any of these ways. Those that mark toxic texts are learnt from a bounded
 sample of labelled rows: they must occur in at least LEAST_DOCS toxic texts, behind many different words (so that what
 copies of one text share doesn't count), with log odds of at least LEAST_ODDS against texts that aren't toxic. The score
 is a logistic function of the sum, over the text's distinct words, of each word's strongest log odds; its slope and
@@ -39,6 +42,8 @@ from .common import map_arrow, slices, stage, store, table
 TRAIN_TOXIC, TRAIN_OTHER = 4_000, 8_000
 LEAST_DOCS, LEAST_ODDS = 3, 3.0
 PREFIXES = (4, 5, 6, 7)
+#: Longer words aren't sought in what several tokens spell.
+LONGEST = 40
 FOLDS = 5
 KEPT_TOKENS = 300_000
 SLICE_BYTES = 4 << 20
@@ -58,8 +63,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõ
 CLASSES = len(LETTERS) + 2  # 0: outside a word; last: any other letter
 TRIPLE = re.compile(r"(.)\1\1")
 DOUBLE = re.compile(r"(.)\1+")
-#: Single characters between spaces, four or more.
-SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S)){3,}")
+#: Single characters with white space between them, four or more.
+SPACED = re.compile(r"(?<!\S)\S(?:\s++\S(?!\S)){3,}")
 
 
 @functools.cache
@@ -183,7 +188,7 @@ class Restorer:
 
 
 def spaced_out(text: str) -> Iterable[str]:
-    return (m.group().replace(" ", "") for m in SPACED.finditer(text))
+    return ("".join(m.group().split()) for m in SPACED.finditer(text))
 
 
 def plain(token: str) -> str | None:
@@ -195,11 +200,15 @@ def plain(token: str) -> str | None:
     return word if not word or word.isalpha() and not TRIPLE.search(word) else None
 
 
+def once(word: str) -> str:
+    """The collapsed form."""
+    return DOUBLE.sub(r"\1", word)
+
+
 def features(word: str) -> list[str]:
     if len(word) < 3:
         return []
-    once = DOUBLE.sub(r"\1", word)
-    forms = (word,) if once == word else (word, once)
+    forms = dict.fromkeys((word, once(word)))
     return list(dict.fromkeys(f for w in forms for f in (w, *(f"{w[:n]}+" for n in PREFIXES if len(w) > n))))
 
 
@@ -229,6 +238,49 @@ def tokens_of(text: str | None) -> list[str]:
     return [*low.split(), *spaced_out(low)]
 
 
+class Joined:
+    """Learnt words in what tokens spell together, whatever their borders; finds are named by their collapsed form.
+
+    A key of ``weights`` with a blank in front holds the log odds of such finds where they differ from the word's.
+    """
+
+    def __init__(self, weights: dict[str, float]):
+        words = {f: weights.get(f" {once(f)}", w) for f, w in weights.items() if 3 <= len(f) <= LONGEST and f[0] != " " and f[-1] != "+"}
+        self.words = {f for f, w in words.items() if w}
+        self.weights: dict[str, float] = {}
+        for f in self.words:
+            self.weights[once(f)] = max(words[f], self.weights.get(once(f), 0.0))
+        self.lengths = sorted({len(w) for w in self.words}, reverse=True)
+        self.heads = {w[:n] for w in self.words for n in range(1, len(w))}
+        self.bits = {once(w[a:b]) for w in self.words for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
+
+    def within(self, word: str) -> set[str]:
+        """Finds in a run of letters; at each place the longest, and none within another."""
+        found = set()
+        for form in {word, once(word)}:
+            end = 0
+            for a in range(len(form)):
+                n = next((n for n in self.lengths if form[a : a + n] in self.words), 0)
+                if n and a + n > end:
+                    found.add(once(form[a : a + n]))
+                    end = a + n
+        return found
+
+    def across(self, words: list[str | None]) -> set[str]:
+        """Finds that two or more neighbours spell; null where a token is no part of any."""
+        found = set()
+        for i, word in enumerate(words):
+            if not word:
+                continue
+            j = i + 1
+            while j < len(words) and words[j] and (word in self.heads or once(word) in self.heads):
+                word += words[j]
+                j += 1
+                if word in self.words or once(word) in self.words:
+                    found.add(once(word))
+        return found
+
+
 def learn(train: DataFrame, model: np.ndarray, text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], tuple[float, float]]:
     """(feature -> log odds, (offset, slope)) from a bounded table of labelled texts."""
     n = {r[0]: r[1] for r in train.groupBy(label_col).count().collect()}
@@ -279,6 +331,20 @@ def learn(train: DataFrame, model: np.ndarray, text_col: str = "text", label_col
     in_other = {r.f: r.n for r in counts.groupBy("f").agg(F.sum("n").alias("n")).collect()}
     odds = {f: math.log((k + 0.5) / (toxic + 1)) - math.log((in_other.get(f, 0) + 0.5) / (other + 1)) for f, k in in_toxic.items()}
     weights = {f: w for f, w in odds.items() if w >= LEAST_ODDS}
+
+    def joined(batches):
+        scorer = Scorer(model, weights)
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                names = [f for found in scorer.finds(part.column("text").to_pylist()) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["f"])
+
+    by_chance = map_arrow(train.filter(F.col(label_col) == 0).select(F.col(text_col).alias("text")), joined, "f string")
+    by_chance = {r.f: r["count"] for r in by_chance.groupBy("f").count().collect()}
+    for f in [f for f in weights if once(f) in by_chance]:
+        n = in_other.get(f, 0) + by_chance[once(f)]
+        w = math.log((in_toxic[f] + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (other + 1))
+        weights[f" {once(f)}"] = max(weights.get(f" {once(f)}", 0.0), w if w >= LEAST_ODDS else 0.0)
     texts = train.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label"))
 
     def evidence(batches):
@@ -319,23 +385,52 @@ class Scorer(Words):
     def __init__(self, model: np.ndarray, weights: dict[str, float], line: tuple[float, float] = (0.0, 1.0)):
         super().__init__(model)
         self.weights, self.line = weights, line
+        self.joined = Joined(weights)
+        self.bits: dict[str, str] = {}  # tokens that could be a part of a learnt word
 
     def learn(self, tokens: Iterable[str]) -> None:
-        known = self.weights
+        known, bits = self.weights, self.joined.bits
         new = [t for t in tokens if t not in self]
         if len(self) + len(new) > self.kept:
             self.clear()
+            self.bits.clear()
             new = list(tokens)
-        words = [(t, plain(t)) for t in new]
-        hard = [t for t, w in words if w is None]
-        words = [(t, w) for t, w in words if w is not None] + list(zip(hard, self.restorer.restore(hard), strict=True))
+        words = self.restored(new)
         self.update((t, max((known.get(f, 0.0) for f in features(w)), default=0.0)) for t, w in words)
+        self.bits.update((t, w) for t, w in words if once(w) in bits)
+
+    def restored(self, tokens: Iterable[str]) -> list[tuple[str, str]]:
+        words = [(t, plain(t)) for t in tokens]
+        hard = [t for t, w in words if w is None]
+        return [(t, w) for t, w in words if w is not None] + list(zip(hard, self.restorer.restore(hard), strict=True))
+
+    def finds(self, texts: list[str | None], lists: list[list[str]] | None = None) -> list[dict[str, float]]:
+        """Of each text: learnt words that tokens spell together and that aren't tokens themselves, with log odds."""
+        lows = [(t or "").lower() for t in texts]
+        if lists is None:
+            lists = [t.split() for t in lows]
+            self.learn(set().union(*lists))
+        runs = [list(dict.fromkeys(spaced_out(t))) for t in lows]
+        spelt = dict(self.restored(set().union(*runs)))
+        bit, odds, out = self.bits.get, self.joined.weights, []
+        for tokens, mine in zip(lists, runs, strict=True):
+            found = {f: odds[f] for f in self.joined.across(list(map(bit, tokens)))}
+            for r in mine:
+                within = self.joined.within(spelt[r])
+                found.update((f, max(odds[f], found.get(f, 0.0))) for f in within)
+                whole = max((self.weights.get(f, 0.0) for f in features(spelt[r])), default=0.0)
+                if whole:
+                    name = next((f for f in within if once(spelt[r]).startswith(f)), once(spelt[r]))
+                    found[name] = max(whole, found.get(name, 0.0))
+            out.append({f: w for f, w in found.items() if f not in tokens} if found else found)
+        return out
 
     def evidence(self, texts: list[str | None]) -> list[float]:
-        sets = [set(tokens_of(t)) for t in texts]
+        lists = [(t or "").lower().split() for t in texts]
+        sets = [set(x) for x in lists]
         self.learn(set().union(*sets))
         get = self.__getitem__
-        return [float(sum(sorted(x for x in map(get, s) if x))) for s in sets]
+        return [float(sum(sorted([*(x for x in map(get, s) if x), *f.values()]))) for s, f in zip(sets, self.finds(texts, lists), strict=True)]
 
     def scores(self, texts: list[str | None]) -> list[float]:
         offset, slope = self.line
