@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from tidemark.operators import factors
@@ -97,3 +98,20 @@ def test_registry_errors():
     with pytest.raises(ValueError):
         blocks.top_n("x", weighting="other")
     assert len(factors.list_factors()) == 27
+
+
+def test_newey_west_of_many_dates(spark, monkeypatch):
+    n = 3600
+    x = np.convolve(np.random.default_rng(4).normal(0.05, 1, n + 19), np.ones(20) / 20, "valid")
+    e, lag = x - x.mean(), int(4 * (n / 100) ** (1 / 3))
+    v = e @ e / n + sum(2 * (1 - k / (lag + 1)) * (e[k:] @ e[:-k]) / n for k in range(1, lag + 1))
+    spark.createDataFrame(list(enumerate(x.tolist())), "t long, x double").createOrReplaceTempView("long_series")
+    got = spark.sql(blocks.newey_west("SELECT * FROM long_series", lags=blocks.newey_west_lags(n))).first()
+    assert lag == 13 and got.n == n and abs(got.tstat - x.mean() / np.sqrt(v / n)) < 1e-6
+    dates = spark.createDataFrame([(i,) for i in range(n)], "date long")
+    monkeypatch.setattr(catalog, "panel", lambda *_: dates)
+    for name in catalog.LAGGED:
+        texts = []
+        monkeypatch.setitem(catalog.PLANS, name, (lambda d, lags=12, f=catalog.PLANS[name][0]: texts.append(f(d, lags)) or "SELECT 1 AS one", "brand_week"))
+        catalog.run(spark, "/root/testdata/sf0.001", name)
+        assert "lag(e, 13)" in texts[0]

@@ -63,8 +63,16 @@ def rank_ic(values: str, target: str, least: int = 10, by: str = "date") -> str:
       WHERE value IS NOT NULL AND fwd IS NOT NULL GROUP BY {by}"""
 
 
+def newey_west_lags(n: int) -> int:
+    """Autocovariances that newey_west() must write out for up to n dates; those beyond the rule's number count nothing."""
+    return max(12, int(4 * (n / 100) ** (1 / 3) + 1e-9))
+
+
 def newey_west(series: str, x: str = "x", by: str = "", lags: int = 12) -> str:
-    """([by,] n, mean, tstat) of a table (t, x): Bartlett weights, lags floor(4 (n/100)^(1/3)) but at most n - 2."""
+    """([by,] n, mean, tstat) of a table (t, x): Bartlett weights, lags floor(4 (n/100)^(1/3)) but at most n - 2.
+
+    ``lags``: at least newey_west_lags() of the most dates.
+    """
     head = f"{by}, " if by else ""
     part = f"PARTITION BY {by} " if by else ""
     group = f"GROUP BY {by}" if by else ""

@@ -14,6 +14,8 @@ from . import blocks as b
 
 Plan = Callable[[Dialect], str]
 PLANS: dict[str, tuple[Plan, str]] = {}
+#: Plans whose text depends on the panel's number of dates; their oracles hold for fewer than 3,433 dates.
+LAGGED = ("eval_newey_west", "eval_summary")
 _PANELS: dict[tuple, DataFrame] = {}
 
 
@@ -45,6 +47,9 @@ def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     panels.tables(spark, sf_dir)
     if kind:
         panel(spark, sf_dir, kind).createOrReplaceTempView("panel")
+    if name in LAGGED:
+        dates = spark.sql("SELECT count(DISTINCT date) FROM panel").first()[0]
+        return spark.sql(doubles(f(SPARK, b.newey_west_lags(dates))))
     return spark.sql(doubles(f(SPARK)))
 
 
@@ -142,15 +147,15 @@ def ics(d, names=EVAL, h=5):
 
 
 @plan("eval_newey_west")
-def _(d):
-    return f"SELECT factor, n, {r('mean', 6)}, {r('tstat', 5)} FROM ({b.newey_west(ics(d), 'ic', 'factor')}) AS x"
+def _(d, lags=12):
+    return f"SELECT factor, n, {r('mean', 6)}, {r('tstat', 5)} FROM ({b.newey_west(ics(d), 'ic', 'factor', lags)}) AS x"
 
 
 @plan("eval_summary")
-def _(d):
+def _(d, lags=12):
     return f"""SELECT s.factor, s.n_obs, round(s.ic_mean, 6) AS ic_mean, round(s.ic_std, 6) AS ic_std, round(s.ic_mean / nullif(s.ic_std, 0), 5) AS ic_ir, round(w.tstat, 4) AS tstat, round(s.positive, 6) AS positive_rate
       FROM (SELECT factor, count(*) AS n_obs, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END) AS positive FROM ({ics(d)}) AS a GROUP BY factor) AS s
-      JOIN ({b.newey_west(ics(d), 'ic', 'factor')}) AS w ON s.factor = w.factor"""
+      JOIN ({b.newey_west(ics(d), 'ic', 'factor', lags)}) AS w ON s.factor = w.factor"""
 
 
 @plan("eval_top5")
