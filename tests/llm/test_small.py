@@ -191,6 +191,17 @@ def test_sampling_without_replacement(spark, docs):
         assert lat.decode(np.frombuffer(r.ids, "<u2")) in {t or "" for _, t in TEXTS}
 
 
+def test_decoding_of_whole_tables(spark, docs, tmp_path):
+    rows = sampling.decode(sampling.sample_segmentations(docs).select("doc_id", "ids")).collect()
+    texts = collections.defaultdict(set)
+    for d, t in TEXTS:
+        texts[d].add(t or "")
+    assert {r.doc_id for r in rows} == set(texts) and all(r.text in texts[r.doc_id] for r in rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sampling.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.text_crc32 in {zlib.crc32(t.encode()) for t in texts[r.doc_id]} for r in got)
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.NET", "http://A.net/x", "https://b.example.net/en/1?x=/fr/", "x://b.example.net/fr/#a", "a://example.com/de/", "a://my.org/fr/q", "a://org/fr", "a://m.ads-track.example.com/en/", "a://xnet/", "a://u://v.net/"]
     rows = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}

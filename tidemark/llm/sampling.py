@@ -21,12 +21,14 @@ they don't depend on batches, partitions or retries.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import map_arrow, slices, store, table
 from .unigram import MARK, model_path, pieces
@@ -183,9 +185,14 @@ class Lattices:
         ids[:, :, 0] = np.where(unknown, np.where(spelt == 1, self.byte[codes & 0xFF], -2 - spelt.astype(np.int32)), ids[:, :, 0])
         return at, ids, cumulative, logs, codes, size
 
+    @functools.cached_property
+    def raw(self) -> list[bytes]:
+        """Bytes of each piece."""
+        return [bytes([int(t[3:5], 16)]) if k == 6 else t.encode() for t, k in zip(self.text, self.kind, strict=True)]
+
     def decode(self, ids) -> str:
         """Text of ids: byte pieces are joined, marks are spaces, and the mark put in front goes."""
-        out = b"".join(bytes([int(self.text[i][3:5], 16)]) if self.kind[i] == 6 else self.text[i].encode() for i in ids)
+        out = b"".join(map(self.raw.__getitem__, np.asarray(ids, np.int64).tolist()))
         text = out.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
@@ -452,8 +459,26 @@ def sample_segmentations(docs: DataFrame, k: int = K, seed: int = SEED, id_col:
     return map_arrow(rows, run, f"{id_col} long, rank int, n_pieces long, ids binary, logp double, gumbel double, log_inclusion double")
 
 
+def decode(samples: DataFrame, out: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """``samples`` with a column ``out``, the text of the ids (binary, little-endian unsigned 16-bit); null for null ids."""
+    path = path or model_path()
+    rows = samples.select(*samples.columns, F.col(ids_col).alias("_ids"))
+    names = samples.columns
+
+    def run(batches):
+        lat = lattices(path)
+        for batch in batches:
+            for piece in slices(batch, "_ids", SLICE_BYTES):
+                texts = [None if x is None else lat.decode(np.frombuffer(x, "<u2")) for x in piece.column("_ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(names))), pa.array(texts, pa.string())], names=[*names, out])
+
+    return map_arrow(rows, run, StructType([*rows.schema.fields[:-1], StructField(out, StringType())]))
+
+
 def query(spark, sf_dir):
-    return sample_segmentations(table(spark, sf_dir, "documents"))
+    """The samples, decoded again; of the decoded text its crc32 (UTF-8)."""
+    samples = sample_segmentations(table(spark, sf_dir, "documents"))
+    return decode(samples, "_text").select(*samples.columns, F.crc32(F.col("_text").cast("binary")).alias("text_crc32"))
 
 
 SQL = None
