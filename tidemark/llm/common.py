@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -20,14 +22,19 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-@functools.cache
-def _own_root() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share. Only a local session may leave it unnamed: there it is a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _local_root()
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_root()
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -58,14 +65,38 @@ def unstage(df: DataFrame) -> None:
 _STORE: dict = {}
 
 
+def claim(key=None) -> None:
+    """Drop what a Python worker keeps for anything but ``key``, and give Arrow's free memory back.
+
+    Workers live from stage to stage, so whoever runs in one claims its store first.
+    """
+    if _STORE and key not in _STORE:
+        _STORE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
+
+
 def store(key, make: Callable):
     """What a Python worker keeps from task to task: one operator's store at a time."""
+    claim(key)
     if key not in _STORE:
-        _STORE.clear()
         _STORE[key] = make()
     return _STORE[key]
 
 
+def _libc_trim():
+    """The C library's call that returns freed memory to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):
+        return None
+
+
+_trim = _libc_trim()
+
+
 _shipped: set[str] = set()
 
 
@@ -92,6 +123,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_rows(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, text): all columns as one struct, so that no name of theirs meets another."""
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col(quoted(text_col)).cast("string").alias("text"))
+
+
+def of_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the struct ``row``."""
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in columns))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, file_path
-from .common import map_arrow, slices, stage, table
+from .bpe import encoder, encoder_dtype, file_path
+from .common import claim, map_arrow, slices, stage, table
 
 WINDOW = 1024
 SLICE_BYTES = 8 << 20
@@ -51,6 +51,14 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     return stage(map_arrow(rows, run, "part int, before long, id long, n long, ids binary"), "packing-ids")
 
 
+def _wide(ids: pa.Array, n: np.ndarray, width: np.dtype) -> bytes:
+    """All ids of a column as 32-bit integers."""
+    ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1 + ids.offset)[ids.offset :]
+    if not len(n):
+        return b""
+    return np.frombuffer(ids.buffers()[2], width, int(n.sum()), int(ends[0])).astype("<u4").tobytes()
+
+
 def pack(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -58,6 +66,7 @@ def pack(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
     An empty table gives no piece. Extra columns are ignored. The order of documents is that of the input's partitions.
     """
     path = path or file_path()
+    width = encoder_dtype(path)
     ids = tokenized(docs, id_col, text_col, path)
     totals = ids.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("total")).collect()
     offsets, at = {}, 0
@@ -65,22 +74,22 @@ def pack(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
         offsets[row.part], at = at, at + row.total
 
     def run(batches):
-        width = encoder(path).dtype
+        claim()
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            columns = [batch.column(k).to_pylist() for k in ("part", "before", "id", "n", "ids")]
-            for part, before, doc, n, raw in zip(*columns, strict=True):
-                wide = memoryview(np.frombuffer(raw, width).astype("<u4").tobytes())
-                first = offsets[part] + before
-                start = 0
-                while start < n:
-                    sequence, offset = divmod(first + start, window)
-                    length = min(window - offset, n - start)
-                    crc = zlib.crc32(wide[4 * start : 4 * (start + length)])
-                    for column, value in zip(out, (doc, start, length, crc, n, sequence, offset), strict=True):
-                        column.append(value)
-                    start += length
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=[f.split()[0] for f in PIECES.split(", ")])
+            part, before, doc, n = (batch.column(k) for k in ("part", "before", "id", "n"))
+            n, first = np.asarray(n), np.asarray(before) + np.array([offsets[p] for p in part.to_pylist()], np.int64)
+            pieces = (first + n - 1) // window - first // window + 1  # each document has its end id at least
+            row = np.repeat(np.arange(len(n)), pieces)
+            no = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            sequence = first[row] // window + no
+            low = np.maximum(sequence * window, first[row])
+            length = np.minimum((sequence + 1) * window, first[row] + n[row]) - low
+            start = low - first[row]
+            wide = memoryview(_wide(batch.column("ids"), n, width))
+            at = 4 * (np.cumsum(n) - n)[row] + 4 * start
+            crc = [zlib.crc32(wide[i:j]) for i, j in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            numbers = (start, length, np.array(crc, np.int64), n[row], sequence, low - sequence * window)
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(row)), *map(pa.array, numbers)], names=[f.split()[0] for f in PIECES.split(", ")])
 
     return map_arrow(ids, run, PIECES)
 
