@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from . import range_coder
 from .bpe import encoder, file_path
-from .common import map_arrow, shared_root, slices, table
+from .common import claim, map_arrow, shared_root, slices, table
 
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 22
 SLICE_BYTES = 8 << 20
 
 
@@ -70,26 +70,25 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     spark.createDataFrame(index, "part int, before long").coalesce(1).write.parquet(f"{folder}/index")
 
 
-def read(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
+def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, and its ids as array<int>; checksums are verified."""
-    return _read(spark, folder, path, True)
+    return _read(spark, folder, True)
 
 
-def digest(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
+def digest(spark: SparkSession, folder: str) -> DataFrame:
     """As read(), without the ids."""
-    return _read(spark, folder, path, False)
+    return _read(spark, folder, False)
 
 
-def _read(spark: SparkSession, folder: str, path: str | None, with_ids: bool) -> DataFrame:
-    path = path or file_path()
+def _read(spark: SparkSession, folder: str, with_ids: bool) -> DataFrame:
     before = {r.part: r.before for r in spark.read.schema("part int, before long").parquet(f"{folder}/index").collect()}
     blocks = spark.read.schema("part int, block int, n_docs long, n_ids long, data binary").parquet(f"{folder}/blocks").select("part", "data")
 
     def run(batches):
-        vocabulary = encoder(path).tokenizer.get_vocab_size(with_added_tokens=True)
+        claim()
         for batch in batches:
             for part, data in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
-                first, docs, lengths, ids = range_coder.unpack_block(data.as_py(), vocabulary)
+                first, docs, lengths, ids = range_coder.unpack_block(data.as_py())
                 ends = np.cumsum(lengths)
                 wide = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(wide[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
