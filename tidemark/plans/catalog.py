@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.functions.dialect import DUCKDB, SPARK, Dialect, average_rank, doubles, lag, lead, roll, safe_div, trailing
 from tidemark.operators.factors import REGISTRY
 from tidemark.sources import panels
+from tidemark.storage import stage
 
 from . import blocks as b
 
-Plan = Callable[[Dialect], str]
+#: A plan's text, or tables that it computes once (name, text) and the text over them.
+Text = str | tuple[list[tuple[str, str]], str]
+Plan = Callable[[Dialect], Text]
 PLANS: dict[str, tuple[Plan, str]] = {}
 #: Plans whose text depends on the panel's number of dates; their oracles hold for fewer than 3,433 dates.
 LAGGED = ("eval_newey_west", "eval_summary")
-_PANELS: dict[tuple, DataFrame] = {}
+_PANELS: dict[tuple, str] = {}
 
 
 def plan(name: str, kind: str = "brand_week"):
@@ -31,38 +36,62 @@ def add(name: str, f: Plan, kind: str = "brand_week") -> None:
     PLANS[name] = (f, kind)
 
 
-def panel(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """The dense panel, computed once for each session and kept; a later query prunes its columns."""
+def panel_view(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """A view of the dense panel, which is computed and written once for each session; queries prune its columns."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _PANELS:
-        for k in [k for k in _PANELS if k[0] == key[0] and k != key and k[1] != sf_dir]:
-            _PANELS.pop(k).unpersist()
         panels.tables(spark, sf_dir)
-        _PANELS[key] = spark.sql(f"WITH {panels.dense_ctes(SPARK, panels.bars_sql(kind))} SELECT * FROM panel").persist()
+        df = stage(spark.sql(f"WITH {panels.dense_ctes(SPARK, panels.bars_sql(kind))} SELECT * FROM panel"), f"panel-{kind}")
+        _PANELS[key] = f"panel_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(_PANELS[key])
     return _PANELS[key]
 
 
+def panel(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return spark.table(panel_view(spark, sf_dir, kind))
+
+
+def _parts(text: Text) -> tuple[list[tuple[str, str]], str]:
+    return ([], text) if isinstance(text, str) else text
+
+
+def evaluate(spark: SparkSession, text: Text, views: dict[str, str]) -> DataFrame:
+    """Run a plan's text over views; tables that it names are computed once and staged."""
+    lets, text = _parts(text)
+    views = dict(views)
+
+    def named(x: str) -> str:
+        return doubles(re.sub(r"\b(" + "|".join(views) + r")\b", lambda m: views[m[0]], x) if views else x)
+
+    for name, x in lets:
+        df = stage(spark.sql(named(x)), name.replace("_", "-"))
+        view = f"{name}_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(view)
+        views[name] = view
+    return spark.sql(named(text))
+
+
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     f, kind = PLANS[name]
     panels.tables(spark, sf_dir)
-    if kind:
-        panel(spark, sf_dir, kind).createOrReplaceTempView("panel")
+    views = {"panel": panel_view(spark, sf_dir, kind)} if kind else {}
     if name in LAGGED:
-        dates = spark.sql("SELECT count(DISTINCT date) FROM panel").first()[0]
-        return spark.sql(doubles(f(SPARK, b.newey_west_lags(dates))))
-    return spark.sql(doubles(f(SPARK)))
+        dates = spark.sql(f"SELECT max(t) FROM {views['panel']}").first()[0] or 0
+        return evaluate(spark, f(SPARK, b.newey_west_lags(dates)), views)
+    return evaluate(spark, f(SPARK), views)
 
 
 def oracle(name: str) -> str:
     f, kind = PLANS[name]
-    text = f(DUCKDB)
-    if kind:
-        text = f"WITH {panels.dense_ctes(DUCKDB, panels.bars_sql(kind))} SELECT * FROM ({text}) AS result"
-    return doubles(text)
+    lets, text = _parts(f(DUCKDB))
+    ctes = [panels.dense_ctes(DUCKDB, panels.bars_sql(kind))] if kind else []
+    ctes += [f"{n} AS MATERIALIZED ({x})" for n, x in lets]
+    return doubles(f"WITH {', '.join(ctes)} SELECT * FROM ({text}) AS result" if ctes else text)
 
 
 def r(x: str, n: int = 6, name: str | None = None) -> str:
-    return f"round({x}, {n}) AS {name or x}"
+    """Rounded; adding 0 makes a negative zero a plain one."""
+    return f"round({x}, {n}) + 0.0 AS {name or x}"
 
 
 # --- panel ---------------------------------------------------------------------------------------------------------
@@ -84,8 +113,7 @@ def _(d):
 # --- factors -------------------------------------------------------------------------------------------------------
 for _name in REGISTRY:
     add(f"factor_{_name}", lambda d, n=_name: f"SELECT ticker, date, {r(n, 6, 'value')} FROM ({b.factors([n])}) AS f")
-add("factor_list", lambda d: f"SELECT * FROM {d.rows('category, name', [(f.category, f.name) for f in REGISTRY.values()])} AS l", "")
-add("factor_library_all", lambda d: f"SELECT ticker, date, {', '.join(r(n, 5) for n in REGISTRY)} FROM ({b.factors(list(REGISTRY))}) AS f WHERE t > {b.WARM}")
+add("factor_library_all", lambda d: f"SELECT ticker, date, {', '.join(r(n, 5) for n in REGISTRY)} FROM ({b.factors(list(REGISTRY))}) AS f WHERE t > {b.warm()}")
 add("factor_composite_equal", lambda d: f"SELECT ticker, date, {r('value')} FROM ({b.composite(d)}) AS c")
 add("factor_composite_weighted", lambda d: f"SELECT ticker, date, {r('value')} FROM ({b.composite(d, weights=dict(zip(b.SIGNAL, (0.4, 0.3, 0.1, 0.1, 0.1), strict=True)))}) AS c")
 add("factor_composite_directed", lambda d: f"SELECT ticker, date, {r('value')} FROM ({b.composite(d, signs={'rev_5': -1, 'vol_21': -1})}) AS c")
@@ -94,7 +122,7 @@ add("factor_composite_directed", lambda d: f"SELECT ticker, date, {r('value')} F
 add("ts_shift", lambda d: f"SELECT ticker, date, {r(lag('close', 3), 6, 'back3')}, {r(lead('close', 2), 6, 'ahead2')} FROM panel")
 add("ts_rolling_basic", lambda d: f"SELECT ticker, date, {r(roll('avg', 'ret', 10), 6, 'mean10')}, {r(roll('max', 'close', 10, 5), 9, 'max10')}, {r(roll('sum', 'volume', 10), 2, 'sum10')} FROM panel", "nation_day")
 add("ts_rolling_quantile", lambda d: f"SELECT ticker, date, round({roll(d.percentile('{x}', 0.05), 'ret', 63)}, 6) AS q05 FROM panel")
-add("ts_rolling_product", lambda d: f"SELECT ticker, date, round(exp({roll('sum', 'lr', 5)}) - 1, 6) AS ret5 FROM (SELECT *, ln(1 + ret) AS lr FROM panel) AS x")
+add("ts_rolling_product", lambda d: f"SELECT ticker, date, round(CASE WHEN count(ret) OVER ({trailing(5)}) = 5 THEN {b.compounded('ret', trailing(5))} - 1 END, 6) AS ret5 FROM panel")
 add("ts_tstat", lambda d: f"SELECT ticker, date, {r('mom_slope', 5, 'tstat')} FROM ({b.factors(['mom_slope'])}) AS f")
 add("ts_skew_nested", lambda d: f"SELECT ticker, date, {r('skew_63', 6, 'skew')} FROM ({b.factors(['skew_63'])}) AS f")
 add("ts_ewm_wilder", lambda d: f"SELECT ticker, date, {r('rsi_14', 5, 'rsi')} FROM ({b.factors(['rsi_14'])}) AS f", "nation_day")
@@ -142,20 +170,13 @@ add("eval_forward_returns", lambda d: f"SELECT ticker, date, {r('fwd')} FROM ({b
 add("eval_ic_series", lambda d: f"SELECT date, n, {r('ic')} FROM ({b.rank_ic(one(), b.forward(5))}) AS x")
 
 
-def ics(d, names=EVAL, h=5):
+def ics(d, names=b.ALL, h=5):
     return b.rank_ic(b.long_factors(names), b.forward(h), by="date, factor")
 
 
 @plan("eval_newey_west")
 def _(d, lags=12):
-    return f"SELECT factor, n, {r('mean', 6)}, {r('tstat', 5)} FROM ({b.newey_west(ics(d), 'ic', 'factor', lags)}) AS x"
-
-
-@plan("eval_summary")
-def _(d, lags=12):
-    return f"""SELECT s.factor, s.n_obs, round(s.ic_mean, 6) AS ic_mean, round(s.ic_std, 6) AS ic_std, round(s.ic_mean / nullif(s.ic_std, 0), 5) AS ic_ir, round(w.tstat, 4) AS tstat, round(s.positive, 6) AS positive_rate
-      FROM (SELECT factor, count(*) AS n_obs, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END) AS positive FROM ({ics(d)}) AS a GROUP BY factor) AS s
-      JOIN ({b.newey_west(ics(d), 'ic', 'factor', lags)}) AS w ON s.factor = w.factor"""
+    return [("ic_table", ics(d))], f"SELECT factor, n, {r('mean', 6)}, {r('tstat', 5)} FROM ({b.newey_west('SELECT * FROM ic_table', 'ic', 'factor', lags)}) AS x"
 
 
 @plan("eval_top5")
@@ -166,30 +187,28 @@ def _(d):
 
 @plan("eval_quantile_returns")
 def _(d):
-    return f"""SELECT date, bucket, round(avg(nxt), 6) AS mean_return, count(*) AS n FROM (
-      SELECT x.date, x.bucket, p.nxt, count(*) OVER (PARTITION BY x.date) AS names FROM (
-        SELECT ticker, date, CAST(least(ceil({average_rank('value', 'date')} * 5 / count(*) OVER (PARTITION BY date)), 5) AS INTEGER) AS bucket FROM ({one()}) AS q WHERE value IS NOT NULL) AS x
-      JOIN (SELECT ticker, date, {lead('ret', 1)} AS nxt FROM panel) AS p ON x.ticker = p.ticker AND x.date = p.date) AS y
-      WHERE names >= 5 AND nxt IS NOT NULL GROUP BY date, bucket"""
+    return f"SELECT date, bucket, {r('mean_return')}, n FROM ({b.quantile_returns(one())}) AS x"
 
 
 @plan("eval_turnover")
 def _(d):
-    week = d.bucket("MS")
-    return f"""SELECT round(avg(moved), 6) AS turnover, count(*) AS periods FROM (
-      SELECT bucket, sum(abs(w - coalesce(before, 0))) AS moved, min(no) AS no FROM (
-        SELECT *, lag(w, 1) OVER (PARTITION BY ticker ORDER BY bucket) AS before, dense_rank() OVER (ORDER BY bucket) AS no FROM (
-          SELECT ticker, bucket, leg * 1.0 / nullif(count(leg) OVER (PARTITION BY bucket, leg), 0) AS w0, coalesce(leg * 1.0 / nullif(count(leg) OVER (PARTITION BY bucket, leg), 0), 0.0) AS w FROM (
-            SELECT ticker, bucket, CASE WHEN pr >= 0.75 THEN 1 WHEN pr <= 0.25 THEN -1 END AS leg FROM (
-              SELECT ticker, {week} AS bucket, {d.max_by('pr', 't')} AS pr FROM (
-                SELECT ticker, date, t, {average_rank('value', 'date')} / count(*) OVER (PARTITION BY date) AS pr FROM ({one()}) AS a WHERE value IS NOT NULL) AS c
-              GROUP BY ticker, {week}) AS e) AS f) AS g) AS h GROUP BY bucket) AS i WHERE no > 1"""
+    return f"SELECT round(turnover, 6) AS turnover, periods FROM ({b.leg_turnover(d, _NAMED)}) AS x"
+
+
+_NAMED = "SELECT ticker, date, t, 'mom_21' AS factor, value FROM (" + one() + ") AS n0"
+
+
+@plan("eval_summary")
+def _(d, lags=12):
+    """Every statistic of every factor after the warm-up, best absolute information ratio first."""
+    names = "ic_mean ic_std ic_ir tstat positive_rate turnover spread_ann spread_sharpe monotonicity".split()
+    lets, text = b.evaluation(d, b.after_warm_up(b.ALL), f"SELECT t FROM panel WHERE t > {b.warm()}", lags=lags)
+    return lets, f"SELECT factor, n_obs, {', '.join(r(n, 5) for n in names)} FROM ({text}) AS e ORDER BY abs(e.ic_ir) DESC, factor"
 
 
 @plan("eval_ic_decay")
 def _(d):
-    parts = " UNION ALL ".join(f"SELECT {h} AS horizon, ic FROM ({b.rank_ic(one(), b.forward(h))}) AS x{h}" for h in (1, 3, 5, 10, 15, 21, 42, 63))
-    return f"SELECT horizon, round(avg(ic), 6) AS mean_ic, count(ic) AS n FROM ({parts}) AS u GROUP BY horizon"
+    return f"SELECT horizon, {r('mean_ic')}, n FROM ({b.ic_decay(one(), (1, 3, 5, 10, 15, 21, 42, 63))}) AS x"
 
 
 # --- universe and quality ------------------------------------------------------------------------------------------
@@ -237,7 +256,7 @@ def _stale() -> str:
 
 
 CHECKS = {
-    "duplicates": ("error", "SELECT sum(n) FROM (SELECT count(*) AS n FROM panel GROUP BY ticker, date HAVING count(*) > 1) AS x"),
+    "duplicates": ("error", f"SELECT sum(n) FROM (SELECT count(*) AS n FROM ({panels.FEED}) AS feed GROUP BY ticker, date HAVING count(*) > 1) AS x"),
     "non_positive": ("error", "SELECT sum(CASE WHEN open <= 0 THEN 1 ELSE 0 END + CASE WHEN high <= 0 THEN 1 ELSE 0 END + CASE WHEN low <= 0 THEN 1 ELSE 0 END + CASE WHEN close <= 0 THEN 1 ELSE 0 END) FROM panel"),
     "ohlc_consistency": ("error", "SELECT sum(CASE WHEN high < low * (1 - 5e-4) THEN 1 ELSE 0 END + CASE WHEN close > high * (1 + 5e-4) OR close < low * (1 - 5e-4) THEN 1 ELSE 0 END) FROM panel"),
     "stale_prices": ("warning", _stale()),
@@ -254,9 +273,10 @@ add("quality_extreme_detail", lambda d: f"SELECT ticker, date, {r('ret')} FROM p
 
 
 def signal(d: Dialect) -> str:
-    return b.masked(b.composite(d))
+    return b.masked_composite(d)
 
 
+SIGNAL = "SELECT * FROM signal_table"
 add("bt_tradable", lambda d: f"SELECT ticker, date, ok FROM ({b.tradable()}) AS m")
 for _every in ("MS", "W-FRI", "W-MON", "D"):
     add(f"bt_rebalance_dates_{_every.replace('-', '_').lower()}", lambda d, e=_every: f"SELECT k, signal_date, trade_t FROM ({b.rebalances(d, one(), e)}) AS m")
@@ -266,24 +286,26 @@ add("bt_weights_quantile", lambda d: f"SELECT ticker, date, round(weight, 6) AS
 add("bt_weights_zblend", lambda d: f"SELECT ticker, date, round(weight, 6) AS weight FROM ({b.zscore_book(signal(d))}) AS m")
 
 
-def sim(d: Dialect, cost: str = "linear", side: str = "long") -> str:
-    return b.simulated(d, b.top_n(signal(d), 5, side), signal(d), cost=cost)
+def sim(d: Dialect, text: str, cost: str = "linear", side: str = "long") -> Text:
+    """The composite's signal, its rebalances and target books, each computed once; ``text`` reads turn and daily."""
+    lets = [("signal_table", signal(d)), ("reb_table", b.rebalances(d, SIGNAL)), ("target_table", b.targets(b.top_n(SIGNAL, 5, side), "reb_table"))]
+    return lets, f"WITH {b.simulated(cost=cost)} {text}"
 
 
-add("bt_daily_returns", lambda d: f"WITH {sim(d)} SELECT date, k, round(gross, 6) AS gross, round(cost, 6) AS cost, round(net, 6) AS net FROM daily")
-add("bt_daily_returns_long_short", lambda d: f"WITH {sim(d, side='long_short')} SELECT date, k, round(gross, 6) AS gross, round(net, 6) AS net FROM daily")
-add("bt_turnover", lambda d: f"WITH {sim(d)} SELECT k, signal_date, round(turnover, 6) AS turnover FROM turn")
-add("bt_costs_linear", lambda d: f"WITH {sim(d)} SELECT k, round(cost, 8) AS cost FROM turn")
-add("bt_costs_sqrt", lambda d: f"WITH {sim(d, 'sqrt')} SELECT k, round(cost, 6) AS cost FROM turn")
-add("bt_holdings", lambda d: f"WITH {sim(d)} SELECT k, ticker, round(weight, 6) AS weight FROM target WHERE k = (SELECT max(k) FROM target WHERE trade_t <= 250)")
+add("bt_daily_returns", lambda d: sim(d, "SELECT date, k, round(gross, 6) AS gross, round(cost, 6) AS cost, round(net, 6) AS net FROM daily"))
+add("bt_daily_returns_long_short", lambda d: sim(d, "SELECT date, k, round(gross, 6) AS gross, round(net, 6) AS net FROM daily", side="long_short"))
+add("bt_turnover", lambda d: sim(d, "SELECT k, signal_date, round(turnover, 6) AS turnover FROM turn"))
+add("bt_costs_linear", lambda d: sim(d, "SELECT k, round(cost, 8) AS cost FROM turn"))
+add("bt_costs_sqrt", lambda d: sim(d, "SELECT k, round(cost, 6) AS cost FROM turn", cost="sqrt"))
+add("bt_holdings", lambda d: sim(d, "SELECT k, ticker, round(weight, 6) AS weight FROM target_table WHERE k = (SELECT max(k) FROM target_table WHERE trade_t <= 250)"))
 add("bt_benchmark", lambda d: f"SELECT date, round({safe_div('close', lag('close', 1))} - 1, 6) AS ret FROM panel WHERE ticker = '{b.BENCHMARK}'")
-add("bt_equity", lambda d: f"WITH {sim(d)} SELECT date, round(equity, 6) AS equity, round(dd, 6) AS dd FROM ({b.drawdowns('SELECT date, t, net FROM daily')}) AS e")
+add("bt_equity", lambda d: sim(d, f"SELECT date, round(equity, 6) AS equity, round(dd, 6) AS dd FROM ({b.drawdowns('SELECT date, t, net FROM daily')}) AS e"))
 
 
 @plan("bt_summary")
 def bt_summary(d):
     names = "total_return cagr ann_vol sharpe sortino max_drawdown calmar var_95 var_99 hit_rate best worst".split()
-    return f"WITH {sim(d)} SELECT n_days, {', '.join(r(n, 5) for n in names)} FROM ({b.summary(d, 'SELECT date, t, net FROM daily')}) AS e"
+    return sim(d, f"SELECT n_days, {', '.join(r(n, 5) for n in names)} FROM ({b.summary(d, 'SELECT date, t, net FROM daily')}) AS e")
 
 
 # --- performance and risk ------------------------------------------------------------------------------------------
@@ -298,7 +320,7 @@ def rolled(f: str, x: str, n: int, least: int | None = None) -> str:
     return f"CASE WHEN count({x}) OVER ({w}) >= {least or n} THEN {call} OVER ({w}) END"
 
 
-add("perf_monthly", lambda d: f"SELECT CAST(extract(year FROM date) AS INTEGER) AS year, CAST(extract(month FROM date) AS INTEGER) AS month, round(exp(sum(ln(1 + net))) - 1, 6) AS ret FROM ({MARKET}) AS m WHERE net IS NOT NULL GROUP BY CAST(extract(year FROM date) AS INTEGER), CAST(extract(month FROM date) AS INTEGER)")
+add("perf_monthly", lambda d: f"SELECT CAST(extract(year FROM date) AS INTEGER) AS year, CAST(extract(month FROM date) AS INTEGER) AS month, round({b.compounded('net')} - 1, 6) AS ret FROM ({MARKET}) AS m WHERE net IS NOT NULL GROUP BY CAST(extract(year FROM date) AS INTEGER), CAST(extract(month FROM date) AS INTEGER)")
 add("perf_rolling_sharpe", lambda d: f"SELECT date, round({rolled('avg', 'net', 126)} / nullif({rolled('stddev_samp', 'net', 126)}, 0) * sqrt(252), 5) AS sharpe FROM ({MARKET}) AS m")
 add("perf_drawdown", lambda d: f"SELECT date, round(dd, 6) AS dd FROM ({b.drawdowns(MARKET)}) AS m")
 add("perf_var_cvar", lambda d: f"SELECT round(-q, 6) AS var_95, round(-avg(CASE WHEN net <= q THEN net END), 6) AS cvar_95 FROM (SELECT net, {d.percentile('net', 0.05)} OVER (PARTITION BY one) AS q FROM (SELECT *, 1 AS one FROM ({MARKET}) AS m) AS m1) AS m2 GROUP BY q")
@@ -321,10 +343,8 @@ add("perf_active", lambda d: f"SELECT round(stddev_samp(x - y) * sqrt(252), 6) A
 
 @plan("risk_episodes")
 def _(d):
-    return f"""SELECT start_date, trough_date, end_date, round(depth, 6) AS depth, n FROM (
-      SELECT min(date) AS start_date, {d.min_by('date', 'dd')} AS trough_date, max(date) AS end_date, min(dd) AS depth, count(*) AS n FROM (
-        SELECT *, sum(CASE WHEN deep THEN 0 ELSE 1 END) OVER ({trailing(None, by='')}) AS grp FROM (SELECT *, dd < -0.05 AS deep FROM ({b.drawdowns(MARKET)}) AS a) AS c) AS e WHERE deep GROUP BY grp) AS f
-      ORDER BY f.depth, start_date LIMIT 5"""
+    lets, text = b.episodes(d, MARKET)
+    return lets, f"SELECT peak_date, trough_date, recovery_date, {r('depth')}, length_days, recovery_days FROM ({text}) AS x"
 
 
 WINDOWS = [("first", "1995-06-01", "1995-12-31"), ("second", "1998-01-01", "1998-06-30"), ("third", "2000-01-01", "2000-12-31"), ("none", "2020-01-01", "2020-12-31")]
@@ -332,7 +352,7 @@ WINDOWS = [("first", "1995-06-01", "1995-12-31"), ("second", "1998-01-01", "1998
 
 @plan("risk_stress")
 def _(d):
-    return f"""SELECT w.name, count(m.net) AS n_days, round(exp(sum(ln(1 + m.net))) - 1, 6) AS ret, round(stddev_samp(m.net) * sqrt(252), 6) AS ann_vol, round(min(m.net), 6) AS worst
+    return f"""SELECT w.name, count(m.net) AS n_days, round({b.compounded('m.net')} - 1, 6) AS ret, round(stddev_samp(m.net) * sqrt(252), 6) AS ann_vol, round(min(m.net), 6) AS worst
       FROM {d.rows('name, a, b', WINDOWS)} AS w JOIN ({MARKET}) AS m ON m.date BETWEEN CAST(w.a AS DATE) AND CAST(w.b AS DATE) WHERE m.net IS NOT NULL GROUP BY w.name HAVING count(m.net) >= 5"""
 
 
@@ -343,10 +363,13 @@ add("risk_factor_exposure", lambda d: f"SELECT date, round(CASE WHEN count(x) OV
 
 
 def exposures(d: Dialect) -> str:
-    return f"""SELECT e.ticker, e.date, e.t, e.ret, e.beta, -ln(greatest({roll('avg', 'p.dv', 21, 10, by='p.ticker').replace('ORDER BY t', 'ORDER BY p.t')}, 1)) AS size,
-        p.ff / nullif(lag(p.ff, 63) OVER (PARTITION BY p.ticker ORDER BY p.t), 0) - 1 AS momentum, -(p.ff / nullif(lag(p.ff, 5) OVER (PARTITION BY p.ticker ORDER BY p.t), 0) - 1) AS reversal,
-        {roll('stddev_samp', 'p.ret', 21, 15, by='p.ticker').replace('ORDER BY t', 'ORDER BY p.t')} AS volatility
-      FROM ({b.trailing_beta(252, 126)}) AS e JOIN panel AS p ON e.ticker = p.ticker AND e.t = p.t"""
+    """Beta is sample covariance over sample variance, 252 rows, 126 at least."""
+    w = trailing(252)
+    return f"""SELECT ticker, date, t, ret, adv, CASE WHEN pairs >= 126 AND seen >= 126 THEN cov / nullif(var, 0) END AS beta, size, momentum, reversal, volatility FROM (
+      SELECT ticker, date, t, ret, {roll('avg', 'dv', 21, 5)} AS adv, count(ret * mkt) OVER ({w}) AS pairs, count(mkt) OVER ({w}) AS seen, covar_samp(ret, mkt) OVER ({w}) AS cov, var_samp(mkt) OVER ({w}) AS var,
+        -ln(CASE WHEN {roll('avg', 'dv', 21, 10)} IS NOT NULL THEN greatest({roll('avg', 'dv', 21, 10)}, 1) END) AS size,
+        ff / nullif({lag('ff', 63)}, 0) - 1 AS momentum, -(ff / nullif({lag('ff', 5)}, 0) - 1) AS reversal, {roll('stddev_samp', 'ret', 21, 15)} AS volatility
+      FROM (SELECT *, avg(ret) OVER (PARTITION BY date) AS mkt FROM panel) AS m0) AS m1"""
 
 
 STYLES = ("beta", "size", "momentum", "reversal", "volatility")
@@ -356,10 +379,10 @@ add("rm_exposures", lambda d: f"SELECT ticker, date, {', '.join(r(s, 5) for s in
 def standardized(d: Dialect) -> str:
     clip = ", ".join(f"CASE WHEN {s} IS NOT NULL THEN least(greatest({s}, {d.percentile(s, 0.025)} OVER (PARTITION BY date)), {d.percentile(s, 0.975)} OVER (PARTITION BY date)) END AS {s}_c" for s in STYLES)
     z = ", ".join(f"({s}_c - avg({s}) OVER (PARTITION BY date)) / CASE WHEN stddev_pop({s}) OVER (PARTITION BY date) > 0 THEN stddev_pop({s}) OVER (PARTITION BY date) ELSE 1.0 END AS z_{s}" for s in STYLES)
-    return f"SELECT ticker, date, t, ret, {z} FROM (SELECT *, {clip} FROM ({exposures(d)}) AS x0) AS x1"
+    return f"SELECT ticker, date, t, ret, adv, {z} FROM (SELECT *, {clip} FROM ({exposures(d)}) AS x0) AS x1"
 
 
-add("rm_std_exposures", lambda d: f"SELECT ticker, date, {', '.join(f'round(z_{s}, 5) AS {s}' for s in STYLES)} FROM ({standardized(d)}) AS x")
+add("rm_std_exposures", lambda d: f"SELECT ticker, date, {', '.join(f'round(z_{s}, 5) + 0.0 AS {s}' for s in STYLES)} FROM ({standardized(d)}) AS x")
 
 
 @plan("rm_factor_returns_one_style")
@@ -367,7 +390,7 @@ def _(d):
     """Weighted least squares of same-day returns on an intercept and one style, by weighted moments."""
     return f"""SELECT date, n, round((sw * sxy - sx * sy) / nullif(sw * sxx - sx * sx, 0), 6) AS momentum, round((sy * sxx - sx * sxy) / nullif(sw * sxx - sx * sx, 0), 6) AS market FROM (
       SELECT date, count(*) AS n, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM (
-        SELECT s.date, s.z_momentum AS x, s.ret AS y, sqrt(v.adv) AS w FROM ({standardized(d)}) AS s JOIN (SELECT ticker, t, {roll('avg', 'dv', 21, 5)} AS adv FROM panel) AS v ON s.ticker = v.ticker AND s.t = v.t) AS a
+        SELECT date, z_momentum AS x, ret AS y, sqrt(adv) AS w FROM ({standardized(d)}) AS s) AS a
       WHERE x IS NOT NULL AND y IS NOT NULL AND w > 0 GROUP BY date HAVING count(*) >= 10) AS c"""
 
 
@@ -418,36 +441,6 @@ def _(d):
 add("mon_regimes", lambda d: f"SELECT regime, count(*) AS n, round(avg(ic), 6) AS mean, round(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*)), 5) AS t_stat, round(avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS positive FROM (SELECT ic, ntile(6) OVER (ORDER BY t) AS regime FROM ({ICS}) AS i1) AS i2 GROUP BY regime")
 
 
-def psi(d: Dialect, bins: int = 10) -> str:
-    """Population stability of each feature, rows up to 240 against later ones."""
-    values = f"SELECT factor, value, CASE WHEN t <= 240 THEN 0 ELSE 1 END AS later FROM ({b.long_factors(EVAL)}) AS v WHERE value IS NOT NULL"
-    edges = ", ".join(f"{d.percentile('value', k / bins)} AS e{k}" for k in range(bins + 1))
-    inside = " ".join(f"WHEN value < e{k} THEN {k}" for k in range(1, bins))
-    return f"""SELECT factor, sum(least(greatest((c - r) * ln(c / r), -25), 25)) AS psi FROM (
-      SELECT factor, bin, greatest(sum(CASE WHEN later = 0 THEN 1.0 ELSE 0 END) / max(n0), 1e-6) AS r, greatest(sum(CASE WHEN later = 1 THEN 1.0 ELSE 0 END) / max(n1), 1e-6) AS c FROM (
-        SELECT v.factor, v.later, CASE WHEN value < e0 OR value > e{bins} THEN -1 {inside} ELSE {bins} END AS bin,
-               sum(CASE WHEN later = 0 THEN 1.0 ELSE 0 END) OVER (PARTITION BY v.factor) AS n0, sum(CASE WHEN later = 1 THEN 1.0 ELSE 0 END) OVER (PARTITION BY v.factor) AS n1
-        FROM ({values}) AS v JOIN (SELECT factor, {edges} FROM ({values}) AS v0 WHERE later = 0 GROUP BY factor) AS e ON v.factor = e.factor) AS a WHERE bin > 0 GROUP BY factor, bin) AS g GROUP BY factor"""
-
-
-def ks(d: Dialect) -> str:
-    values = f"SELECT factor, value, CASE WHEN t <= 240 THEN 0 ELSE 1 END AS later FROM ({b.long_factors(EVAL)}) AS v WHERE value IS NOT NULL"
-    at = "PARTITION BY factor ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    return f"""SELECT factor, max(abs(c0 / n0 - c1 / n1)) AS ks FROM (SELECT factor, sum(1.0 - later) OVER ({at}) AS c0, sum(later * 1.0) OVER ({at}) AS c1,
-      sum(1.0 - later) OVER (PARTITION BY factor) AS n0, sum(later * 1.0) OVER (PARTITION BY factor) AS n1 FROM ({values}) AS a) AS c GROUP BY factor"""
-
-
-add("mon_psi", lambda d: f"SELECT factor, round(psi, 6) AS psi, CASE WHEN psi < 0.10 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'significant' END AS status FROM ({psi(d)}) AS p")
-add("mon_ks", lambda d: f"SELECT factor, round(ks, 6) AS ks FROM ({ks(d)}) AS p")
-
-
-@plan("mon_drift_table")
-def _(d):
-    return f"""SELECT p.factor, round(p.psi, 6) AS psi, round(k.ks, 6) AS ks, round(m.m0, 5) AS mean_before, round(m.m1, 5) AS mean_after, round((m.m1 - m.m0) / nullif(m.s0, 0), 4) AS shift
-      FROM ({psi(d)}) AS p JOIN ({ks(d)}) AS k ON p.factor = k.factor JOIN (
-        SELECT factor, avg(CASE WHEN t <= 240 THEN value END) AS m0, avg(CASE WHEN t > 240 THEN value END) AS m1, stddev_samp(CASE WHEN t <= 240 THEN value END) AS s0 FROM ({b.long_factors(EVAL)}) AS v GROUP BY factor) AS m ON p.factor = m.factor"""
-
-
 # --- ingestion -----------------------------------------------------------------------------------------------------
 STORED = "SELECT ticker, date, close, volume FROM panel WHERE close IS NOT NULL AND date <= DATE '1996-06-03' AND ticker <> 'Brand#7'"
 FRESH = "SELECT ticker, date, CASE WHEN ticker = 'Brand#5' AND date = DATE '1996-05-27' THEN close * 1.01 ELSE close END AS close, volume FROM panel WHERE close IS NOT NULL AND (date >= DATE '1996-05-24' OR ticker = 'Brand#7')"

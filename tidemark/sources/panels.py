@@ -14,6 +14,11 @@ KINDS = {
 }
 
 
+#: Bars as two books report them, by nation, day and line status: where both traded, a (ticker, date) comes twice.
+FEED = """SELECT n_name AS ticker, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / sum(l_quantity) AS close
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name, CAST(l_shipdate AS DATE), l_linestatus"""
+
+
 def bars_sql(kind: str) -> str:
     ticker, date, source, _ = KINDS[kind]
     return f"""SELECT {ticker} AS ticker, {date} AS date, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
@@ -56,8 +61,7 @@ def from_long(df: DataFrame) -> DataFrame:
     bars = df.select("date", "ticker", *(e.alias(c) for c, e in columns.items()))
     if not bars.groupBy("date", "ticker").count().filter("count > 1").isEmpty():
         raise ValueError("bars have several rows for one date and ticker")
-    bars.createOrReplaceTempView("long_bars")
-    return df.sparkSession.sql(f"WITH {dense_ctes(SPARK, 'SELECT * FROM long_bars')} SELECT * FROM panel")
+    return df.sparkSession.sql(f"WITH {dense_ctes(SPARK, 'SELECT * FROM {bars}')} SELECT * FROM panel", bars=bars)
 
 
 def to_parquet(panel: DataFrame, path: str) -> None:

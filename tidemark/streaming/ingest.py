@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import shared_root
+
 KEYS = ("ticker", "date")
 
 
@@ -46,8 +48,5 @@ def stream_daily_bars(spark: SparkSession, source: str, pattern: str, folder: st
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    out = stream_daily_bars(spark, sf_dir, "events.parquet", f"{root}/stream-{uuid.uuid4().hex}")
+    out = stream_daily_bars(spark, sf_dir, "events.parquet", f"{shared_root(spark)}/stream-{uuid.uuid4().hex}")
     return out.select("ticker", "date", "n", F.round("high", 6).alias("high"), F.round("low", 6).alias("low"), F.round("volume", 4).alias("volume"))
