@@ -1,6 +1,3 @@
-import numpy as np
-
-from tidemark.operators.optimize import erc_weights, ledoit_wolf
 from tidemark.streaming import ingest
 
 
@@ -16,11 +13,3 @@ def test_upsert_keeps_stored_values_over_nulls(spark):
     stored = spark.createDataFrame([("A", 1, 1.0, 2.0), ("A", 2, 1.0, 2.0)], "ticker string, date int, close double, volume double")
     fresh = spark.createDataFrame([("A", 2, 3.0, None), ("A", 3, 4.0, 5.0)], stored.schema)
     assert sorted(tuple(r) for r in ingest.upsert(stored, fresh).collect()) == [("A", 1, 1.0, 2.0), ("A", 2, 3.0, 2.0), ("A", 3, 4.0, 5.0)]
-
-
-def test_equal_risk():
-    rng = np.random.default_rng(0)
-    cov = ledoit_wolf(rng.normal(size=(300, 5)) * np.array([1, 2, 3, 1, 2]))
-    w = erc_weights(cov)
-    risk = w * (cov @ w)
-    assert abs(w.sum() - 1) < 1e-12 and np.allclose(risk, risk.mean(), rtol=1e-6)
