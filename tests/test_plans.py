@@ -9,12 +9,13 @@ import numpy as np
 import pytest
 
 from tidemark.operators import factors
+from tidemark.operators.backtest import BacktestConfig, run_backtest
 from tidemark.plans import blocks, catalog
 from tidemark.functions.dialect import SPARK, doubles
 from tidemark.sources import panels
 
 SF = "/root/testdata/sf0.001"
-SOME = ["panel_dense", "factor_mom_21", "factor_rsi_14", "factor_idio_vol_21", "factor_ep", "xs_sector_demean", "quality_report", "bt_turnover", "bt_daily_returns", "perf_cornish_fisher", "mon_cusum", "inc_merge"]
+SOME = ["panel_dense", "factor_mom_21", "factor_rsi_14", "factor_idio_vol_21", "factor_ep", "xs_sector_demean", "quality_report", "bt_turnover", "bt_daily_returns", "perf_cornish_fisher", "mon_cusum", "inc_merge", "eval_turnover", "risk_episodes", "rm_exposures"]
 
 
 @pytest.fixture(scope="module")
@@ -80,16 +81,28 @@ def test_momentum_by_hand(spark):
 
 
 def test_trade_is_a_row_after_the_signal(spark):
-    panels.from_long(_bars(spark, 70, ("A", "B"))).createOrReplaceTempView("panel")
-    signal = "SELECT ticker, date, t, CASE WHEN ticker = 'A' THEN 1.0 ELSE 0.0 END AS value FROM panel"
-    weights = "SELECT ticker, date, t, 1.0 AS weight FROM panel WHERE ticker = 'A'"
-    daily = spark.sql(doubles(f"WITH {blocks.simulated(SPARK, weights, signal)} SELECT * FROM daily")).orderBy("t").collect()
-    ret = {r.t: r.ret for r in spark.sql("SELECT t, ret FROM panel WHERE ticker = 'A'").collect()}
-    first = daily[0]
-    assert first.t == 31 + 2 and first.gross == pytest.approx(ret[33]) and first.cost == pytest.approx(10 / 1e4)
+    panel = panels.from_long(_bars(spark, 70, ("A", "B")))
+    signal = panel.selectExpr("date", "ticker", "CASE WHEN ticker = 'A' THEN 1.0 ELSE 0.0 END AS value")
+
+    def only_a(rows):
+        return rows.filter("ticker = 'A'").selectExpr("date", "ticker", "1.0D AS weight")
+
+    config = BacktestConfig(rebalance="MS", min_dollar_vol_musd=0.0, benchmark=None, exclude=())
+    daily = run_backtest(panel, signal, config, constructor=only_a).daily.orderBy("t").collect()
+    ret = {r.t: r.ret for r in panel.filter("ticker = 'A'").collect()}
+    assert daily[0].t == 31 + 2 and daily[0].gross == pytest.approx(ret[33]) and daily[0].cost == pytest.approx(10 / 1e4)
     assert daily[1].net == pytest.approx(ret[34] * (1 + ret[33]))
 
 
+def test_plans_read_the_panel_once_and_exchange_little(spark):
+    df = catalog.QUERIES["bt_summary"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("CartesianProduct") == 0 and "lineitem" not in plan
+    df = catalog.QUERIES["factor_library_all"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6, plan.count("Exchange hashpartitioning")
+
+
 def test_registry_errors():
     with pytest.raises(KeyError):
         factors.get_factor("none")
@@ -108,10 +121,10 @@ def test_newey_west_of_many_dates(spark, monkeypatch):
     spark.createDataFrame(list(enumerate(x.tolist())), "t long, x double").createOrReplaceTempView("long_series")
     got = spark.sql(blocks.newey_west("SELECT * FROM long_series", lags=blocks.newey_west_lags(n))).first()
     assert lag == 13 and got.n == n and abs(got.tstat - x.mean() / np.sqrt(v / n)) < 1e-6
-    dates = spark.createDataFrame([(i,) for i in range(n)], "date long")
-    monkeypatch.setattr(catalog, "panel", lambda *_: dates)
+    spark.createDataFrame([(i,) for i in range(1, n + 1)], "t long").createOrReplaceTempView("long_dates")
+    monkeypatch.setattr(catalog, "panel_view", lambda *_: "long_dates")
     for name in catalog.LAGGED:
         texts = []
         monkeypatch.setitem(catalog.PLANS, name, (lambda d, lags=12, f=catalog.PLANS[name][0]: texts.append(f(d, lags)) or "SELECT 1 AS one", "brand_week"))
         catalog.run(spark, "/root/testdata/sf0.001", name)
-        assert "lag(e, 13)" in texts[0]
+        assert "lag(e, 13)" in str(texts[0])
