@@ -39,7 +39,7 @@ BITS = 26
 #: Scales of the intervals of orders 0 and 1 within their shares; a share is never so small that an id gets nothing.
 ORDER0_BITS, ORDER1_BITS = 20, 14
 LEAST2, LEAST1, LEAST0 = 1 << 12, 1 << ORDER1_BITS, 1 << ORDER0_BITS
-CONTEXT2_BITS = 17
+CONTEXT2_BITS = 16
 SURE = 8
 U = np.uint64
 WORD = U(1 << 32)
@@ -70,7 +70,7 @@ class Model:
         #: What came since the tables were made: ids, states and orders, successors.
         self.late: tuple[list, list, list] = ([], [], [])
         #: Order-1 tables cost n rows, a step costs its lanes.
-        self.every = max(8, n >> 9)
+        self.every = max(16, n >> 8)
         self.refresh()
 
     def refresh(self) -> None:
@@ -124,16 +124,17 @@ class Model:
         above = past >= self.w1
         self.at1, self.at0 = np.nonzero(~(above | self.hit2))[0], np.nonzero(above)[0]
         c = self.back1[self.at1]
-        want = (((past[self.at1] + 1 << ORDER1_BITS) - 1) // self.w1[self.at1]).astype(np.int32)
+        # Quotients of numbers this small are exact in doubles but for their fractions.
+        want = (((past[self.at1] + 1 << ORDER1_BITS) - 1) / self.w1[self.at1]).astype(np.int32)
         slot = _flags(self.border1.take(c, axis=0) <= want[:, None]) * NUMBER >> U(56)
         self.slot1 = c * SLOTS + np.minimum(slot, U(SLOTS - 1)).view(np.int64)
         x[self.at1] = self.next1.reshape(-1)[self.slot1]
         if len(self.at0):
             rest = (1 << BITS) - self.w2[self.at0] - self.w1[self.at0]
-            want = ((past[self.at0] - self.w1[self.at0] + 1 << ORDER0_BITS) - 1) // rest
-            if self.near is None:  # of every 16th place, the id before
-                self.near = np.repeat(np.arange(self.n), np.diff(-(-self.cum >> 4)))
-            y = self.near[want >> 4]
+            want = (((past[self.at0] - self.w1[self.at0] + 1 << ORDER0_BITS) - 1) / rest).astype(np.int64)
+            if self.near is None:  # of every 32nd place, the id before
+                self.near = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(-(-self.cum >> 5)))
+            y = self.near[want >> 5].astype(np.int64)
             late = np.nonzero(self.cum[y + 1] <= want)[0]
             while len(late):
                 y[late] += 1
@@ -167,11 +168,12 @@ class Model:
         self.next2[self.at2] = np.where(self.hit2, self.packed2 + (self.sure < SURE - 1), down)
         if len(self.at0):
             count1 = self.count1.reshape(-1)
-            c = self.back1[self.at0] * SLOTS
-            a, b = c + self.t % SLOTS, c + (self.t + 3) % SLOTS  # the rarer of two slots gives way
-            at = np.where(count1[a] <= count1[b], a, b)
-            count1[at] = 1
-            self.next1.reshape(-1)[at] = x[self.at0]
+            at = self.back1[self.at0] * SLOTS + self.t % SLOTS
+            old = count1[at]
+            gone = np.nonzero(old <= 2)[0]  # a slot that is seldom right gives way, another one loses weight
+            count1[at] = np.maximum(1, old - (old >> 2))
+            at = at[gone]
+            self.next1.reshape(-1)[at] = x[self.at0[gone]]
         self.t = t = self.t + 1
         if t % self.every == 0 or t & (t - 1) == 0:
             self.refresh()

@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -36,11 +38,19 @@ from .unigram import MARK, model_path, pieces
 K = 2
 SEED = 20
 BYTE_LOGP = -14.0
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 4 << 20
+#: Cells (word, place, length) of lattices that are solved at a time, and of those that a worker keeps for later slices.
+CELLS, KEPT_CELLS = 3 << 20, 6 << 20
+#: Occurrences in a worker's first slice that make it keep a word's lattice.
+OFTEN = 3
 #: Prefixes below this probability are not followed further for siblings: all their mass is below double precision.
 LEAST_MASS = 1e-16
 WIDE = 255
 U = np.uint64
+#: A product with a word of byte flags has their number in the top byte.
+NUMBER = U(0x0101010101010101)
+#: Parts segments; texts that hold it take a pattern instead.
+CUT = "\x00"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,14 +126,58 @@ class Lattices:
         for node, i in ends.items():
             self.end[node] = i
 
+        self.is_rare = np.zeros(0x110000, bool)
+        self.is_rare[[ord(c) for c in self.rare]] = True
+        #: A line end that no piece holds is a segment of its own.
+        self.cut_lines = "\n" not in seen
+        self.kept: dict[str, int] | None = None
+        self.kept_groups: list[tuple] = []
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """(segments of each text, distinct segments, number of each segment)."""
+        if any(CUT in t for t in texts):
+            lists = [self.segments(t) for t in texts]
+            every, sizes = pa.array([w for x in lists for w in x], pa.string()), np.array([len(x) for x in lists], np.int64)
+        else:
+            marked = pc.replace_substring(pa.array([MARK + t if t else "" for t in texts], pa.string()), " ", MARK)
+            marked = pc.replace_substring(marked, MARK, CUT + MARK)
+            if self.cut_lines:
+                marked = pc.replace_substring(marked, "\n", f"{CUT}\n{CUT}")
+            lists = pc.split_pattern(marked, CUT)
+            every = lists.flatten()
+            some = np.asarray(pc.binary_length(every)) > 0
+            sizes = np.bincount(np.asarray(pc.list_parent_indices(lists))[some], minlength=len(texts))
+            every = every.filter(pa.array(some))
+        coded = every.dictionary_encode()
+        return sizes.astype(np.int64), coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+
+    def segments(self, text: str) -> list[str]:
+        """Whose lattices follow each other: every mark starts one, and line ends stand alone."""
+        if not text:
+            return []
+        marked = MARK + text.replace(" ", MARK)
+        return re.findall(f"{MARK}[^{MARK}\n]*|[^{MARK}\n]+|\n" if self.cut_lines else f"{MARK}[^{MARK}]*", marked)
+
     def solve(self, words: list[str]) -> list[tuple]:
         """Groups of words of like length: (their indices, ids [word, place, length], cumulative probabilities, log sums)."""
-        by: dict[tuple[int, bool], list[int]] = {}
-        common = self.rare.isdisjoint
-        for i, w in enumerate(words):
-            n = len(w)
-            by.setdefault((4 * -(-n // 4) if n <= 24 else 1 << (n - 1).bit_length(), not common(w)), []).append(i)
-        return [self._group(np.array(at), [words[i] for i in at], *key) for key, at in sorted(by.items())]
+        if not words:
+            return []
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        rare = np.zeros(len(words), bool)
+        if self.rare:
+            codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+            at = np.nonzero(self.is_rare[codes])[0]
+            rare[np.searchsorted(np.cumsum(n), at, side="right")] = True
+        step = np.where(n <= 24, 4, 1 << np.maximum(2, np.frexp(n)[1] - 4))  # an eighth of the length at most
+        width = -(-n // step) * step
+        out = []
+        for key in np.unique(width * 2 + rare).tolist():
+            at = np.nonzero(width * 2 + rare == key)[0]
+            most = max(1, CELLS // (key // 2 * min(self.longest, key // 2)))
+            for i in range(0, len(at), most):
+                part = at[i : i + most]
+                out.append(self._group(part, [words[j] for j in part.tolist()], key // 2, bool(key % 2)))
+        return out
 
     def _group(self, at: np.ndarray, words: list[str], width: int, has_rare: bool) -> tuple:
         n, most = len(words), min(self.longest, width)
@@ -145,56 +199,75 @@ class Lattices:
             if not len(row):
                 break
         m = most if has_rare else max([k + 1 for k, x in enumerate(matches) if len(x[0])], default=1)
+        m = -(-m // 8) * 8  # whole words of flags
         ids = np.full((n, width, m), -1, np.int32)
         for length, (row, place, end) in enumerate(matches[:m]):
             ids[row, place, length] = end
         for i, w in enumerate(words if has_rare else ()):
             for a in range(len(w)):
-                for length in range(min(m, len(w) - a)):
+                for length in range(min(most, len(w) - a)):
                     ids[i, a, length] = self.by_piece.get(w[a : a + length + 1], -1)
         unknown = inside & (ids[:, :, 0] < 0)  # spelt in bytes; the id -2 - byte length stands for them
         spelt = np.ones_like(codes) if not unknown.any() else 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
         single = np.where(unknown, spelt * BYTE_LOGP, self.logp[ids[:, :, 0]])
-        cumulative = np.zeros((n, width, m), np.float32)
+        # Places run first and words last, so that every step is a sweep over all words.
+        own = np.where(inside, single, -np.inf).T
+        steps = np.ascontiguousarray(ids.transpose(1, 2, 0))
+        within = np.empty((width, m, n), np.float32)
         if -np.where(inside, single, 0.0).sum(axis=1).min(initial=0.0) < 600:  # sums fit doubles as they are
-            p = self.p[ids]
-            p[:, :, 0] = np.where(inside, np.exp(single), 0.0)
-            sums = np.zeros((n, width + m + 1))
-            sums[np.arange(n), size] = 1.0
+            p = self.p[steps]
+            p[:, 0, :] = np.exp(own)
+            sums = np.zeros((width + m + 1, n))
+            sums[size, np.arange(n)] = 1.0
             for a in range(width - 1, -1, -1):
-                e = np.cumsum(p[:, a, :] * sums[:, a + 1 : a + 1 + m], axis=1)
-                whole = e[:, -1]
-                sums[:, a] = np.where(inside[:, a], whole, sums[:, a])
-                cumulative[:, a, :] = e / np.where(whole > 0, whole, 1.0)[:, None]
+                e = p[a]
+                e *= sums[a + 1 : a + 1 + m]
+                np.cumsum(e, axis=0, out=e)
+                whole = e[-1]
+                np.copyto(sums[a], whole, where=inside[:, a])
+                np.divide(e, np.where(whole > 0, whole, 1.0), out=within[a], casting="same_kind")
             with np.errstate(divide="ignore"):
                 logs = np.log(sums)
         else:
-            logp = np.where(ids >= 0, self.logp[ids], -np.inf)
-            logp[:, :, 0] = np.where(inside, single, -np.inf)
-            logs = np.full((n, width + m + 1), -np.inf)
-            logs[np.arange(n), size] = 0.0
+            logp = np.where(steps >= 0, self.logp[steps], -np.inf)
+            logp[:, 0, :] = own
+            logs = np.full((width + m + 1, n), -np.inf)
+            logs[size, np.arange(n)] = 0.0
             for a in range(width - 1, -1, -1):
-                x = np.where(inside[:, a, None], logp[:, a, :] + logs[:, a + 1 : a + 1 + m], -np.inf)
-                top = x.max(axis=1)
+                x = np.where(inside[:, a], logp[a] + logs[a + 1 : a + 1 + m], -np.inf)
+                top = x.max(axis=0)
                 top = np.where(np.isfinite(top), top, 0.0)
-                e = np.cumsum(np.exp(x - top[:, None]), axis=1)
-                whole = e[:, -1]
+                e = np.cumsum(np.exp(x - top), axis=0)
+                whole = e[-1]
                 ok = whole > 0
-                logs[ok, a] = top[ok] + np.log(whole[ok])
-                cumulative[:, a, :] = e / np.where(ok, whole, 1.0)[:, None]
+                logs[a, ok] = top[ok] + np.log(whole[ok])
+                within[a] = e / np.where(ok, whole, 1.0)
+        cumulative, logs = np.ascontiguousarray(within.transpose(2, 0, 1)), np.ascontiguousarray(logs.T)
         ids[:, :, 0] = np.where(unknown, np.where(spelt == 1, self.byte[codes & 0xFF], -2 - spelt.astype(np.int32)), ids[:, :, 0])
         return at, ids, cumulative, logs, codes, size
 
     @functools.cached_property
-    def raw(self) -> list[bytes]:
-        """Bytes of each piece."""
-        return [bytes([int(t[3:5], 16)]) if k == 6 else t.encode() for t, k in zip(self.text, self.kind, strict=True)]
+    def raw(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all pieces, spaces for marks, with each piece's first place and length."""
+        each = [bytes([int(t[3:5], 16)]) if k == 6 else t.replace(MARK, " ").encode() for t, k in zip(self.text, self.kind, strict=True)]
+        size = np.array([len(x) for x in each])
+        return np.frombuffer(b"".join(each), np.uint8), np.cumsum(size) - size, size
+
+    def decode_all(self, lists: list[np.ndarray]) -> list[str]:
+        """Texts of id lists: byte pieces are joined, marks are spaces, and the mark put in front goes."""
+        if not lists:
+            return []
+        every, first, size = self.raw
+        ids = np.concatenate(lists).astype(np.int64)
+        n = size[ids]
+        ends = np.cumsum(n)
+        raw = every[np.repeat(first[ids] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        stop = np.append(0, ends)[np.cumsum([len(x) for x in lists])].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *stop], stop)]
+        return [t[1:] if t[:1] == " " else t for t in texts]
 
     def decode(self, ids) -> str:
-        """Text of ids: byte pieces are joined, marks are spaces, and the mark put in front goes."""
-        out = b"".join(map(self.raw.__getitem__, np.asarray(ids, np.int64).tolist()))
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all([np.asarray(ids, np.int64)])[0]
 
 
 def lattices(path: str) -> Lattices:
@@ -206,81 +279,105 @@ class Slice:
 
     def __init__(self, lat: Lattices, keys: np.ndarray, texts: list[str], seed: int):
         self.lat, self.keys, self.seed = lat, keys, seed
-        every: list[str] = []
-        sizes = []
-        for t in texts:
-            got = t.replace(" ", MARK).split(MARK) if t else []
-            every += got
-            sizes.append(len(got))
-        index = {s: i for i, s in enumerate(dict.fromkeys(every))}
-        self.sizes = np.array(sizes, np.int64)
+        self.sizes, words, word = lat.cut(texts)
         self.first = np.cumsum(self.sizes) - self.sizes
-        word = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
         self.n = len(word)
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
         self.rank = np.arange(self.n) - self.first[self.doc]
-        self.groups = lat.solve([MARK + s for s in index])
-        group_of, row_of = np.zeros(len(index), np.int32), np.zeros(len(index), np.int64)
-        zero = np.zeros(len(index))
-        for g, (at, _, _, logs, _, _) in enumerate(self.groups):
-            group_of[at], row_of[at] = g, np.arange(len(at))
-            zero[at] = logs[:, 0]
+        group_of, row_of = self._solved(words, np.bincount(word, minlength=len(words)))
+        # All groups' tables as flat arrays: an edge is base + place * m + length, a node's log sum log_base + place.
+        widths, self.m = (np.array([g[1].shape[i] for g in self.groups], np.int64) for i in (1, 2))
+        n_rows = np.array([len(g[1]) for g in self.groups], np.int64)
+        cells, spans = n_rows * widths * self.m, n_rows * (widths + self.m + 1)
+        empty = np.zeros(0, np.int32)
+        self.flat_ids = np.concatenate([empty, *(g[1].ravel() for g in self.groups)])
+        self.flat_logs = np.concatenate([np.zeros(0), *(g[3].ravel() for g in self.groups)])
         self.group, self.row = group_of[word], row_of[word]
+        self.base = ((np.cumsum(cells) - cells)[group_of] + row_of * (widths * self.m)[group_of])[word]
+        log_base = (np.cumsum(spans) - spans)[group_of] + row_of * (widths + self.m + 1)[group_of]
+        self.log_base = log_base[word]
+        zero = self.flat_logs[log_base]
         self.log_sum = np.bincount(self.doc, zero[word], len(texts))
         self.key = keys.astype(np.uint64)[self.doc] if self.n else np.zeros(0, np.uint64)
 
-    def sample(self, number: int, forced: dict[int, tuple[list[int], list[int]]]) -> tuple[np.ndarray, ...]:
+    def _solved(self, words: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Group and row of each word; the lattices of common words are kept from a worker's first slice on."""
+        lat = self.lat
+        if lat.kept is None:
+            cells = np.cumsum([len(w) * min(lat.longest, len(w)) for w in words] * (times >= OFTEN))
+            hot = [w for w, k, c in zip(words, times.tolist(), cells.tolist(), strict=True) if k >= OFTEN and c <= KEPT_CELLS]
+            lat.kept_groups = lat.solve(hot)
+            lat.kept = {}
+            for g, (part, *_) in enumerate(lat.kept_groups):
+                for row, i in enumerate(part.tolist()):
+                    lat.kept[hot[i]] = g << 32 | row
+        place = np.fromiter((lat.kept.get(w, -1) for w in words), np.int64, len(words))
+        new = np.nonzero(place < 0)[0]
+        found = lat.solve([words[i] for i in new.tolist()])
+        self.groups = lat.kept_groups + found
+        group_of, row_of = (place >> 32).astype(np.int32), place & 0xFFFFFFFF
+        for g, (at, *_) in enumerate(found, len(lat.kept_groups)):
+            group_of[new[at]], row_of[new[at]] = g, np.arange(len(at))
+        return group_of, row_of
+
+    def sample(self, number: int, forced: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
         """Segment occurrence, step, place, length index, id, log p of every edge taken, in the text's order.
 
-        forced: step -> (occurrences, length indices) that are given.
+        forced: occurrences, steps and length indices that are given; an occurrence's steps follow each other from 0.
         """
         found = []
         key = hashed(self.seed, number, self.key, self.rank)
+        order = np.argsort(self.group, kind="stable")
+        ends = np.cumsum(np.bincount(self.group, minlength=len(self.groups)))
+        given_n = np.bincount(forced[0], minlength=self.n) if len(forced[0]) else None
+        if given_n is not None:
+            by_place = np.lexsort((forced[1], forced[0]))
+            given, given_at = forced[2][by_place], np.cumsum(given_n) - given_n
         for g, (_, ids, cumulative, _, _, size) in enumerate(self.groups):
-            occ = np.nonzero(self.group == g)[0]
-            place = np.zeros(len(occ), np.int32)
+            occ = order[ends[g - 1] if g else 0 : ends[g]]
+            place = np.zeros(len(occ), np.int64)
+            width, m = ids.shape[1:]
+            flat_ids, rows = ids.reshape(-1), cumulative.reshape(-1, m)
+            base, mine, size = self.row[occ] * width, key[occ], size[self.row[occ]]
+            occ = occ.astype(np.int32)
             step = 0
             while len(occ):
-                row = self.row[occ]
-                u = (mix(key[occ] + U(step * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)) >> U(40)).astype(np.float32) * np.float32(2.0**-24)
-                length = (cumulative[row, place] <= u[:, None]).sum(axis=1, dtype=np.int32)
-                length = np.minimum(length, ids.shape[2] - 1)
-                if step in forced:
-                    given = np.full(self.n, -1, np.int16)
-                    given[forced[step][0]] = forced[step][1]
-                    given = given[occ]
-                    length = np.where(given >= 0, given, length)
-                bad = ids[row, place, length] == -1  # rounding at the end of a cumulative row
-                while bad.any():
-                    length = np.where(bad, length - 1, length)
-                    bad = ids[row, place, length] == -1
-                found.append((occ, np.full(len(occ), step, np.int32), place, length, ids[row, place, length]))
+                node = base + place
+                u = (mix(mine + U(step * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)) >> U(40)).astype(np.float32) * np.float32(2.0**-24)
+                flags = (rows.take(node, axis=0) <= u[:, None]).view(np.uint64) * NUMBER >> U(56)
+                length = np.minimum(flags.sum(axis=1, dtype=np.int64) if m > 8 else flags.ravel().astype(np.int64), m - 1)
+                if given_n is not None:
+                    told = np.nonzero(given_n[occ] > step)[0]
+                    if len(told):
+                        length[told] = given[given_at[occ[told]] + step]
+                edge = node * m + length
+                id_ = flat_ids[edge]
+                bad = np.nonzero(id_ == -1)[0]  # rounding at the end of a cumulative row
+                while len(bad):
+                    length[bad] -= 1
+                    id_[bad] = flat_ids[node[bad] * m + length[bad]]
+                    bad = bad[id_[bad] == -1]
+                found.append((occ, np.full(len(occ), step, np.int32), place.astype(np.int32), length.astype(np.int32), id_))
                 place = place + length + 1
-                on = place < size[row]
-                occ, place = occ[on], place[on]
+                on = np.nonzero(place < size)[0]
+                occ, place, base, mine, size = occ[on], place[on], base[on], mine[on], size[on]
                 step += 1
         if not found:
             return tuple(np.zeros(0, np.int64) for _ in range(5))
         occ, step, place, length, ids = (np.concatenate(x) for x in zip(*found, strict=True))
         steps = np.bincount(occ, minlength=self.n)
-        to = (np.cumsum(steps) - steps)[occ] + step
-        out = []
-        for x in (occ, step, place, length, ids):
-            out.append(np.empty_like(x))
-            out[-1][to] = x
-        return tuple(out)
+        at = np.empty(len(occ), np.int64)
+        at[(np.cumsum(steps) - steps)[occ] + step] = np.arange(len(occ))
+        return tuple(x.take(at) for x in (occ, step, place, length, ids))
 
     def edge_logp(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids >= 0, self.lat.logp[ids], (-2 - ids) * BYTE_LOGP)
 
     def conditional(self, occ, place, length) -> np.ndarray:
         """Probability of each edge given its node."""
-        out = np.ones(len(occ))
-        for g, (_, ids, _, logs, _, _) in enumerate(self.groups):
-            at = np.nonzero(self.group[occ] == g)[0]
-            row, p, k = self.row[occ[at]], place[at], length[at]
-            out[at] = np.exp(self.edge_logp(ids[row, p, k]) + logs[row, p + k + 1] - logs[row, p])
-        return np.minimum(out, 1.0)
+        ids = self.flat_ids[self.base[occ] + place * self.m[self.group[occ]] + length]
+        node = self.log_base[occ] + place
+        return np.minimum(np.exp(self.edge_logp(ids) + self.flat_logs[node + length + 1] - self.flat_logs[node]), 1.0)
 
     def edges(self, o: int, place: int) -> list[tuple[int, float]]:
         """(length index, probability) of all edges that leave a node."""
@@ -344,6 +441,7 @@ def top_k(lat: Lattices, keys: np.ndarray, texts: list[str], k: int, seed: int):
         if number:
             u = uniform(seed, number, keys, 2, 7)
             draw = uniform(seed, number, keys, 3, 7)
+            branch = uniform(seed, number, keys, 4, 7)
             for d, queue in enumerate(queues):
                 mass = queue.mass() if starts[d] is not None else 0.0
                 if not mass > 0:
@@ -359,7 +457,7 @@ def top_k(lat: Lattices, keys: np.ndarray, texts: list[str], k: int, seed: int):
                 o, step, prefix = int(occs[j]), int(steps[j]), float(prefixes[j])
                 excluded = others.get(j, frozenset({int(lengths[j])}))
                 options = [(e, p) for e, p in part.edges(o, int(places[j])) if e not in excluded]
-                left = float(uniform(seed, number, int(keys[d]), 4, 7)) * sum(p for _, p in options)
+                left = float(branch[d]) * sum(p for _, p in options)
                 for e, p in options:
                     left -= p
                     if left <= 0:
@@ -370,14 +468,8 @@ def top_k(lat: Lattices, keys: np.ndarray, texts: list[str], k: int, seed: int):
                 starts[d] = (given, prefix * p)
         if number == k:
             break
-        forced: dict[int, tuple[list[int], list[int]]] = {}
-        for s in starts:
-            if s and len(s[0]):
-                for o, step, e in zip(*(x.tolist() for x in s[0]), strict=True):
-                    forced.setdefault(step, ([], []))
-                    forced[step][0].append(o)
-                    forced[step][1].append(e)
-        path = part.sample(number, forced)
+        given = [s[0] for s in starts if s and len(s[0])]
+        path = part.sample(number, tuple(np.concatenate([np.zeros(0, np.int64), *(g[i] for g in given)]).astype(np.int64) for i in range(3)))
         occ, step, place, length, ids = path
         logp = np.bincount(part.doc[occ], part.edge_logp(ids), n) - part.log_sum
         doc, flat = part.spelt(path)
@@ -469,7 +561,9 @@ def decode(samples: DataFrame, out: str = "text", ids_col: str = "ids", path: st
         lat = lattices(path)
         for batch in batches:
             for piece in slices(batch, "_ids", SLICE_BYTES):
-                texts = [None if x is None else lat.decode(np.frombuffer(x, "<u2")) for x in piece.column("_ids").to_pylist()]
+                rows = piece.column("_ids").to_pylist()
+                found = iter(lat.decode_all([np.frombuffer(x, "<u2") for x in rows if x is not None]))
+                texts = [None if x is None else next(found) for x in rows]
                 yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(names))), pa.array(texts, pa.string())], names=[*names, out])
 
     return map_arrow(rows, run, StructType([*rows.schema.fields[:-1], StructField(out, StringType())]))

@@ -20,7 +20,7 @@ Text = str | tuple[list[tuple[str, str]], str]
 Plan = Callable[[Dialect], Text]
 PLANS: dict[str, tuple[Plan, str]] = {}
 #: Plans whose text depends on the panel's number of dates; their oracles hold for fewer than 3,433 dates.
-LAGGED = ("eval_newey_west", "eval_summary")
+LAGGED = ("eval_newey_west", "eval_summary", "scale_evaluation")
 _PANELS: dict[tuple, str] = {}
 
 
@@ -286,9 +286,9 @@ add("bt_weights_quantile", lambda d: f"SELECT ticker, date, round(weight, 6) AS
 add("bt_weights_zblend", lambda d: f"SELECT ticker, date, round(weight, 6) AS weight FROM ({b.zscore_book(signal(d))}) AS m")
 
 
-def sim(d: Dialect, text: str, cost: str = "linear", side: str = "long") -> Text:
+def sim(d: Dialect, text: str, cost: str = "linear", side: str = "long", source: str = "") -> Text:
     """The composite's signal, its rebalances and target books, each computed once; ``text`` reads turn and daily."""
-    lets = [("signal_table", signal(d)), ("reb_table", b.rebalances(d, SIGNAL)), ("target_table", b.targets(b.top_n(SIGNAL, 5, side), "reb_table"))]
+    lets = [("signal_table", source or signal(d)), ("reb_table", b.rebalances(d, SIGNAL)), ("target_table", b.targets(b.top_n(SIGNAL, 5, side), "reb_table"))]
     return lets, f"WITH {b.simulated(cost=cost)} {text}"
 
 
@@ -308,6 +308,13 @@ def bt_summary(d):
     return sim(d, f"SELECT n_days, {', '.join(r(n, 5) for n in names)} FROM ({b.summary(d, 'SELECT date, t, net FROM daily')}) AS e")
 
 
+# The same over the panel of suppliers, whose names grow with the tables: what is timed against the reference's figures.
+PRICED = tuple(n for n in b.ALL if not REGISTRY[n].needs_fundamentals)
+add("scale_factors", lambda d: f"SELECT ticker, date, {', '.join(r(n, 5) for n in PRICED)} FROM ({b.factors(PRICED)}) AS f WHERE t > {b.warm()}", "supp_week")
+add("scale_evaluation", lambda d, lags=12: (lambda lets, text: (lets, f"SELECT factor, n_obs, {', '.join(r(n, 5) for n in 'ic_mean ic_ir tstat positive_rate turnover spread_ann monotonicity'.split())} FROM ({text}) AS e"))(*b.evaluation(d, b.after_warm_up(PRICED), f"SELECT t FROM panel WHERE t > {b.warm()}", lags=lags)), "supp_week")
+add("scale_backtest", lambda d: sim(d, "SELECT date, k, round(gross, 6) AS gross, round(cost, 6) AS cost, round(net, 6) AS net FROM daily", side="long_short", source=b.composite(d)), "supp_week")
+
+
 # --- performance and risk ------------------------------------------------------------------------------------------
 MARKET = "SELECT date, max(t) AS t, avg(ret) AS net FROM panel GROUP BY date"
 BENCH = f"SELECT date, t, ret AS net FROM panel WHERE ticker = '{b.BENCHMARK}'"
