@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table, without_space
+from .common import quoted, stage, table, without_space
 
 #: At most so many texts are salted, each with at least total/HOT_GROUPS rows.
 HOT_GROUPS = 10_000
@@ -34,7 +34,7 @@ def _sorted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     most = max(LEAST_HOT, total // HOT_GROUPS)
     hot = counts.filter(F.col("count") > most).select(F.col("_h").alias("_hot"), F.ceil(F.col("count") / most).cast("long").alias("_salts"))
 
-    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"), norm.alias("_norm"))
+    own = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"), norm.alias("_norm"))
     rows = own.withColumn("_h", F.xxhash64("_norm")).join(F.broadcast(hot), F.col("_h") == F.col("_hot"), "left")
     salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts")), F.lit(0)).cast("long")
     keyed = rows.select("_row", "_id", "_h", F.substring("_norm", 1, SPLITTER_CHARS).alias("_p"), salt.alias("_salt"), F.col("_hot").isNotNull().alias("_is_hot"))
@@ -75,7 +75,7 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = stage(heads.select("_row", "_id", "_n", "_salt", "_is_hot", "_size", F.when(F.col("_is_hot"), F.sha2("_norm", 256)).alias("text_sha256")), "dedup-heads")
     merged = _merged(heads.filter("_is_hot"))
     out = heads.join(F.broadcast(merged), F.col("text_sha256") == F.col("_sha"), "left")
-    return out.filter(F.col("_sha").isNull() | (F.col("_salt") == F.col("_best.salt"))).select("_row.*")
+    return out.filter(F.col("_sha").isNull() | (F.col("_salt") == F.col("_best.salt"))).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import map_arrow, slices, table
+from .common import as_rows, claim, map_arrow, of_rows, slices, table
 
 SLICE_BYTES = 8 << 20
 #: The expected number of rows that the scorer is fitted on; twice as many at most.
@@ -159,6 +159,7 @@ def vote_patterns(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
+        claim()
         count: Counter = Counter()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -175,6 +176,7 @@ def train_scorer(docs: DataFrame, weak: WeakModel, total: int, id_col: str = "do
     rows = docs.filter(chosen).select(text)
 
     def features(batches):
+        claim()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 x, y = [], []
@@ -189,6 +191,7 @@ def train_scorer(docs: DataFrame, weak: WeakModel, total: int, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.float64())], names=["x", "y"])
 
     def fit(batches):
+        claim()
         xs, ys = [], []
         for batch in batches:
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
@@ -197,7 +200,7 @@ def train_scorer(docs: DataFrame, weak: WeakModel, total: int, id_col: str = "do
                     ys.append(y)
         yield pa.RecordBatch.from_arrays([pa.array([gradient_fit(np.stack(xs), np.array(ys)).tobytes()] if ys else [], pa.binary())], names=["w"])
 
-    got = map_arrow(map_arrow(rows, features, "x binary, y double").coalesce(1), fit, "w binary").collect()
+    got = map_arrow(map_arrow(rows, features, "x binary, y double").repartition(1), fit, "w binary").collect()
     return np.frombuffer(got[0].w) if got else np.zeros(DIMS + 1)
 
 
@@ -208,7 +211,7 @@ SCALE = 10.0
 def gradient_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels by accelerated gradient steps."""
     n = len(y)
-    norm = float((x.astype(np.float64) ** 2).sum(axis=1).max()) + 1
+    norm = float(np.einsum("ij,ij->i", x, x).max()) + 1
     rate = 4 / norm
     w = np.zeros(DIMS + 1)
     base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
@@ -223,18 +226,18 @@ def gradient_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarra
     return w
 
 
-def score(docs: DataFrame, weights: np.ndarray, weak: WeakModel, text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("quality", "weak")) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with two columns: the scorer's probability that a text is good, and the posterior's."""
-    rows = docs.select(*(keep if keep is not None else docs.columns), F.col(text_col).cast("string").alias("_text"))
-    names = rows.columns[:-1]
+def score(docs: DataFrame, weights: np.ndarray, weak: WeakModel, text_col: str = "text") -> DataFrame:
+    """(row, quality, weak): the rows of ``docs`` as structs, the scorer's probability that a text is good, and the posterior's."""
+    rows = as_rows(docs, text_col)
     flat = weights.astype(np.float32)
 
     def run(batches):
+        claim()
         memory: dict[int, float] = {}
         for batch in batches:
-            for part in slices(batch, "_text", SLICE_BYTES):
+            for part in slices(batch, "text", SLICE_BYTES):
                 good, seen = [], []
-                for t in part.column("_text").to_pylist():
+                for t in part.column("text").to_pylist():
                     t, raw = _read(t)
                     values = statistics(t, raw)
                     at = trigrams(raw)
@@ -245,10 +248,9 @@ def score(docs: DataFrame, weights: np.ndarray, weak: WeakModel, text_col: str =
                     if pattern not in memory:
                         memory[pattern] = 1 - weak.posterior(pattern)
                     seen.append(memory[pattern])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(good, pa.float64()), pa.array(seen, pa.float64())], names=[*names, *out])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(good, pa.float64()), pa.array(seen, pa.float64())], names=["row", "quality", "weak"])
 
-    schema = StructType([*rows.schema.fields[:-1], *(StructField(x, DoubleType()) for x in out)])
-    return map_arrow(rows, run, schema)
+    return map_arrow(rows, run, StructType([rows.schema["row"], StructField("quality", DoubleType()), StructField("weak", DoubleType())]))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, WeakModel]:
@@ -260,13 +262,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, quality (0 to 1, higher: better), weak, keep (quality >= 0.5)."""
     weights, weak = fit(docs, id_col, text_col)
-    return score(docs, weights, weak, text_col, [id_col]).withColumn("keep", F.col("quality") >= 0.5)
+    scored = score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), weights, weak)
+    return scored.select(F.col("row").getField("id").alias(id_col), "quality", "weak", (F.col("quality") >= 0.5).alias("keep"))
 
 
 def good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the scorer keeps, with their columns."""
     weights, weak = fit(docs, id_col, text_col)
-    return score(docs, weights, weak, text_col, out=("_quality", "_weak")).filter(F.col("_quality") >= 0.5).drop("_quality", "_weak")
+    return of_rows(score(docs, weights, weak, text_col).filter("quality >= 0.5"), docs.columns)
 
 
 def query(spark, sf_dir):

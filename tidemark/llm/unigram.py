@@ -23,8 +23,8 @@ MARK = "▁"
 #: Fixed value: an unknown character scores this much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 MODEL = "piece_bpe_32k.model"
-#: Segments whose results a Python worker keeps; the store is emptied beyond that.
-KEPT_SEGMENTS = 400_000
+#: Bytes of segments that a Python worker keeps, about; the store is emptied beyond that.
+KEPT_BYTES, ENTRY_BYTES = 80 << 20, 200
 SLICE_BYTES = 8 << 20
 
 
@@ -59,8 +59,8 @@ class CountViterbi(dict):
     A character that no piece covers alone is unknown and counts one piece for each of its UTF-8 bytes.
     """
 
-    def __init__(self, path: str, kept: int = KEPT_SEGMENTS):
-        self.kept = kept
+    def __init__(self, path: str, kept: int = KEPT_BYTES):
+        self.kept, self.held = kept, 0
         self.automaton = ahocorasick.Automaton()
         vocabulary = pieces(path)
         for piece, score, _ in vocabulary:
@@ -69,8 +69,10 @@ class CountViterbi(dict):
         self.unknown = min(score for _, score, _ in vocabulary) - UNKNOWN_PENALTY
 
     def __missing__(self, segment: str) -> complex:
-        if len(self) >= self.kept:
+        self.held += ENTRY_BYTES + len(segment)
+        if self.held > self.kept:
             self.clear()
+            self.held = 0
         out = self[segment] = self.solve(MARK + segment)
         return out
 
