@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import map_arrow, slices, stage, store, table
+from .common import as_rows, claim, map_arrow, of_rows, slices, stage, store, table
 
 #: Bounds of the labelled sample, toxic and not; rows are taken in the order of a hash of their id.
 TRAIN_TOXIC, TRAIN_OTHER = 4_000, 8_000
@@ -45,7 +45,9 @@ PREFIXES = (4, 5, 6, 7)
 #: Longer words aren't sought in what several tokens spell.
 LONGEST = 40
 FOLDS = 5
-KEPT_TOKENS = 300_000
+#: Bytes of tokens that a worker keeps, about, and cells (character, state) that are decoded at a time.
+KEPT_BYTES, ENTRY_BYTES = 64 << 20, 170
+CELLS = 4 << 20
 SLICE_BYTES = 4 << 20
 
 # Letters that a character is used for, besides itself.
@@ -63,8 +65,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõ
 CLASSES = len(LETTERS) + 2  # 0: outside a word; last: any other letter
 TRIPLE = re.compile(r"(.)\1\1")
 DOUBLE = re.compile(r"(.)\1+")
-#: Single characters with white space between them, four or more.
-SPACED = re.compile(r"(?<!\S)\S(?:\s++\S(?!\S)){3,}")
+TWO, FOUR = re.compile(b"\1{2,}"), re.compile(b"\1{4,}")
 
 
 @functools.cache
@@ -86,6 +87,7 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     size = CLASSES * CLASSES
 
     def run(batches):
+        claim()
         kinds, total = _classes(), np.zeros(size, np.int64)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -133,9 +135,10 @@ class Restorer:
         by: dict[int, list[int]] = {}
         for i, t in enumerate(tokens):
             by.setdefault(-(-len(t) // 4), []).append(i)
-        for group in by.values():
-            for a in range(0, len(group), 2048):
-                for i, word in zip(group[a : a + 2048], self._decode([tokens[i] for i in group[a : a + 2048]]), strict=True):
+        for width, group in by.items():
+            most = max(1, CELLS // (4 * width * CLASSES))
+            for a in range(0, len(group), most):
+                for i, word in zip(group[a : a + most], self._decode([tokens[i] for i in group[a : a + most]]), strict=True):
                     out[i] = word
         return out
 
@@ -143,7 +146,7 @@ class Restorer:
         n, width = len(tokens), max(map(len, tokens))
         lattice = [self.options(t) for t in tokens]
         ways = max((len(o) for x in lattice for o in x), default=1)
-        kind = np.full((width, n, ways), -2, np.int16)
+        kind = np.full((width, n, ways), -2, np.int8)
         cost = np.full((width, n, ways), -np.inf)
         for l, x in enumerate(lattice):
             for i, o in enumerate(x):
@@ -151,11 +154,11 @@ class Restorer:
                     kind[i, l, w], cost[i, l, w] = c, p
         score = np.full((n, CLASSES), -np.inf)
         score[:, 0] = 0.0
-        back = np.zeros((width, n, CLASSES), np.int16)  # class before, or -1: the same state, nothing written
+        back = np.zeros((width, n, CLASSES), np.int8)  # class before, or -1: the same state, nothing written
         lane = np.arange(n)
         for i in range(width):
             new = np.full_like(score, -np.inf)
-            step = np.full((n, CLASSES), -1, np.int16)
+            step = np.full((n, CLASSES), -1, np.int8)
             for w in range(ways):
                 nothing = np.nonzero(kind[i, :, w] == -1)[0]
                 if len(nothing):
@@ -187,8 +190,15 @@ class Restorer:
         return ["".join(reversed(w)) for w in words]
 
 
-def spaced_out(text: str) -> Iterable[str]:
-    return ("".join(m.group().split()) for m in SPACED.finditer(text))
+def runs_of(flags: bytes, least: re.Pattern) -> Iterable[tuple[int, int]]:
+    """Spans of ones."""
+    return (m.span() for m in least.finditer(flags)) if b"\1\1" in flags else ()
+
+
+def spaced_out(tokens: list[str]) -> list[str]:
+    """What four or more single characters spell that follow each other, whatever white space parts them."""
+    flags = bytes(map((1).__eq__, map(len, tokens)))
+    return ["".join(tokens[a:b]) for a, b in runs_of(flags, FOUR)]
 
 
 def plain(token: str) -> str | None:
@@ -213,29 +223,38 @@ def features(word: str) -> list[str]:
 
 
 class Words(dict):
-    """token -> restored word; emptied when it holds ``kept``."""
+    """token -> restored word; emptied when it holds about ``kept`` bytes."""
 
-    def __init__(self, model: np.ndarray, kept: int = KEPT_TOKENS):
-        self.restorer, self.kept = Restorer(model), kept
+    def __init__(self, model: np.ndarray, kept: int = KEPT_BYTES):
+        self.restorer, self.kept, self.held = Restorer(model), kept, 0
 
-    def learn(self, tokens: Iterable[str]) -> None:
+    def missing(self, tokens: Iterable[str]) -> list[str]:
+        """Tokens that aren't known yet; all of them if there is no room."""
         new = [t for t in tokens if t not in self]
-        if len(self) + len(new) > self.kept:
-            self.clear()
+        more = sum(map(len, new)) + ENTRY_BYTES * len(new)
+        if self.held + more > self.kept and self.held:
+            self.forget()
             new = list(tokens)
-        hard = []
-        for t in new:
-            word = plain(t)
-            if word is None:
-                hard.append(t)
-            else:
-                self[t] = word
-        self.update(zip(hard, self.restorer.restore(hard), strict=True))
+            more = sum(map(len, new)) + ENTRY_BYTES * len(new)
+        self.held += more
+        return new
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
+    def restored(self, tokens: Iterable[str]) -> list[tuple[str, str]]:
+        words = [(t, plain(t)) for t in tokens]
+        hard = [t for t, w in words if w is None]
+        return [(t, w) for t, w in words if w is not None] + list(zip(hard, self.restorer.restore(hard), strict=True))
+
+    def learn(self, tokens: Iterable[str]) -> None:
+        self.update(self.restored(self.missing(tokens)))
 
 
 def tokens_of(text: str | None) -> list[str]:
-    low = (text or "").lower()
-    return [*low.split(), *spaced_out(low)]
+    tokens = (text or "").lower().split()
+    return [*tokens, *spaced_out(tokens)]
 
 
 class Joined:
@@ -290,6 +309,7 @@ def learn(train: DataFrame, model: np.ndarray, text_col: str = "text", label_col
         return {}, (prior, 1.0)
 
     def restored(batches, emit):
+        claim()
         words = Words(model)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -333,6 +353,7 @@ def learn(train: DataFrame, model: np.ndarray, text_col: str = "text", label_col
     weights = {f: w for f, w in odds.items() if w >= LEAST_ODDS}
 
     def joined(batches):
+        claim()
         scorer = Scorer(model, weights)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -348,6 +369,7 @@ def learn(train: DataFrame, model: np.ndarray, text_col: str = "text", label_col
     texts = train.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label"))
 
     def evidence(batches):
+        claim()
         scorer = Scorer(model, weights)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -386,35 +408,39 @@ class Scorer(Words):
         super().__init__(model)
         self.weights, self.line = weights, line
         self.joined = Joined(weights)
+        self.starts = {f[:3] for f in weights if f[0] != " "}
         self.bits: dict[str, str] = {}  # tokens that could be a part of a learnt word
 
-    def learn(self, tokens: Iterable[str]) -> None:
-        known, bits = self.weights, self.joined.bits
-        new = [t for t in tokens if t not in self]
-        if len(self) + len(new) > self.kept:
-            self.clear()
-            self.bits.clear()
-            new = list(tokens)
-        words = self.restored(new)
-        self.update((t, max((known.get(f, 0.0) for f in features(w)), default=0.0)) for t, w in words)
-        self.bits.update((t, w) for t, w in words if once(w) in bits)
+    def forget(self) -> None:
+        super().forget()
+        self.bits.clear()
 
-    def restored(self, tokens: Iterable[str]) -> list[tuple[str, str]]:
-        words = [(t, plain(t)) for t in tokens]
-        hard = [t for t, w in words if w is None]
-        return [(t, w) for t, w in words if w is not None] + list(zip(hard, self.restorer.restore(hard), strict=True))
+    def strongest(self, word: str, form: str) -> float:
+        """Log odds of a word with a collapsed form; most are told by their first letters."""
+        if word[:3] in self.starts or form[:3] in self.starts:
+            return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
+        return 0.0
+
+    def learn(self, tokens: Iterable[str]) -> None:
+        bits = self.joined.bits
+        for t, word in self.restored(self.missing(tokens)):
+            form = once(word) if DOUBLE.search(word) else word
+            self[t] = self.strongest(word, form)
+            if form in bits:
+                self.bits[t] = word
 
     def finds(self, texts: list[str | None], lists: list[list[str]] | None = None) -> list[dict[str, float]]:
         """Of each text: learnt words that tokens spell together and that aren't tokens themselves, with log odds."""
-        lows = [(t or "").lower() for t in texts]
         if lists is None:
-            lists = [t.split() for t in lows]
+            lists = [(t or "").lower().split() for t in texts]
             self.learn(set().union(*lists))
-        runs = [list(dict.fromkeys(spaced_out(t))) for t in lows]
+        runs = [list(dict.fromkeys(spaced_out(t))) for t in lists]
         spelt = dict(self.restored(set().union(*runs)))
-        bit, odds, out = self.bits.get, self.joined.weights, []
+        bits, odds, out = self.bits, self.joined.weights, []
         for tokens, mine in zip(lists, runs, strict=True):
-            found = {f: odds[f] for f in self.joined.across(list(map(bit, tokens)))}
+            found = {}
+            for a, b in runs_of(bytes(map(bits.__contains__, tokens)), TWO):
+                found.update((f, odds[f]) for f in self.joined.across([bits[t] for t in tokens[a:b]]))
             for r in mine:
                 within = self.joined.within(spelt[r])
                 found.update((f, max(odds[f], found.get(f, 0.0))) for f in within)
@@ -430,27 +456,26 @@ class Scorer(Words):
         sets = [set(x) for x in lists]
         self.learn(set().union(*sets))
         get = self.__getitem__
-        return [float(sum(sorted([*(x for x in map(get, s) if x), *f.values()]))) for s, f in zip(sets, self.finds(texts, lists), strict=True)]
+        return [float(sum(sorted([*filter(None, map(get, s)), *f.values()]))) for s, f in zip(sets, self.finds(texts, lists), strict=True)]
 
     def scores(self, texts: list[str | None]) -> list[float]:
         offset, slope = self.line
         return [1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, offset + slope * e)))) for e in self.evidence(texts)]
 
 
-def score(docs: DataFrame, model: np.ndarray, weights: dict[str, float], line: tuple[float, float], text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
-    """``docs`` with a column ``out``; ``keep``: the columns to keep, all by default."""
-    rows = docs.select(*(keep if keep is not None else docs.columns), F.col(text_col).cast("string").alias("_text"))
-    names = rows.columns[:-1]
+def score(docs: DataFrame, model: np.ndarray, weights: dict[str, float], line: tuple[float, float], text_col: str = "text") -> DataFrame:
+    """(row, score): the rows of ``docs`` as structs, whatever their columns are called."""
+    rows = as_rows(docs, text_col)
     fit = uuid.uuid4().hex  # a worker keeps its tokens from task to task
 
     def run(batches):
         scorer = store(("toxicity", fit), lambda: Scorer(model, weights, line))
         for batch in batches:
-            for part in slices(batch, "_text", SLICE_BYTES):
-                got = scorer.scores(part.column("_text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(got, pa.float64())], names=[*names, out])
+            for part in slices(batch, "text", SLICE_BYTES):
+                got = scorer.scores(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(got, pa.float64())], names=["row", "score"])
 
-    return map_arrow(rows, run, StructType([*rows.schema.fields[:-1], StructField(out, DoubleType())]))
+    return map_arrow(rows, run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def fold(id_col) -> F.Column:
@@ -470,21 +495,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(language model, feature weights, (offset, slope))."""
     model = language_model(docs, text_col)
     sample = F.broadcast(sample_labels(labels, id_col, label_col))  # at most TRAIN_TOXIC + TRAIN_OTHER rows
-    train = stage(docs.select(id_col, text_col).join(sample, id_col).select(text_col, label_col), "toxicity-train")
-    return model, *learn(train, model, text_col, label_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    train = stage(texts.join(sample, texts["id"] == sample[id_col]).select("text", F.col(label_col).alias("label")), "toxicity-train")
+    return model, *learn(train, model, "text", "label")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per row: id, held_out, score, predicted."""
     model, weights, line = fit(docs, labels, id_col, text_col, label_col)
-    scored = score(docs, model, weights, line, text_col, [id_col])
-    return scored.select(id_col, (fold(F.col(id_col)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model, weights, line)
+    found = F.col("row").getField("id")
+    return scored.select(found.alias(id_col), (fold(found) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of ``docs`` that score below 0.5, with their columns."""
     model, weights, line = fit(docs, labels, id_col, text_col, label_col)
-    return score(docs, model, weights, line, text_col, out="_toxicity").filter(F.col("_toxicity") < 0.5).drop("_toxicity")
+    return of_rows(score(docs, model, weights, line, text_col).filter("score < 0.5"), docs.columns)
 
 
 def query(spark, sf_dir):
