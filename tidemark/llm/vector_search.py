@@ -6,58 +6,76 @@ after the mean), Cauchy-Schwarz bounds the product of two segments by width * m1
 thing. Bounds go coarse to fine; a candidate leaves a query as soon as its bound is below the query's k-th best score so
 far, and exact integer products are computed for survivors only. Ties stay: a bound equal to that score survives.
 
-Queries and candidates are packed into blocks. Each block of candidates goes to one lane, each block of queries to all
-lanes, and they meet in a join on (query block, lane): a stated query set against all rows, in blocks. A lane keeps one
-running top-k for each query, so what is merged at the end is k rows for each query and task.
+Queries and candidates are packed into blocks. A lane holds a bounded share of the candidates, LANE_BYTES, which are sent
+once; the blocks of queries go to all lanes, one after the other, so a task holds its lane and one block of queries: a stated
+query set against all rows, in blocks. The number of lanes grows with the candidates. A block of candidates first meets the
+block of queries as a whole, by the ranges of its statistics, and is left out if no query's bound reaches its k-th score.
+What is merged at the end is k rows for each query and lane.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage, table
+from .common import claim, map_arrow, stage, table
 
 QUERY_BLOCK = 1024
-CANDIDATE_BLOCK = 4096
+#: Bytes of a block of candidates, and of a lane's.
+BLOCK_BYTES, LANE_BYTES = 1 << 20, 48 << 20
 LEVELS = (1, 4, 16)
 #: Sums of products below this are exact in doubles.
 EXACT = 2.0**52
 
 
-def _blocks(rows: DataFrame, size: int, scale: float, every: int | None) -> DataFrame:
-    """(block, dim, ids, data): at most ``size`` vectors of one dimension, as integers in doubles."""
+def _vectors(column: pa.Array, ids: pa.Array, scale: float, every: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, lengths, first places, values) of a batch's vectors that take part, as integers in doubles."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = column.is_valid().to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    values = np.floor(pc.fill_null(flat.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False) * scale)
+    first = np.cumsum(lengths) - lengths
+    bad = np.add.reduceat(np.append(~np.isfinite(values), False), np.minimum(first, len(values))) if len(first) else np.zeros(0)
+    number = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+    good = known & ((bad == 0) | (lengths == 0))
+    if every:
+        good &= number % every == 0
+    return number[good], lengths[good], first[good], values
+
+
+def _blocks(rows: DataFrame, scale: float, every: int | None) -> DataFrame:
+    """(dim, ids, data): blocks of vectors of one dimension, QUERY_BLOCK of them or BLOCK_BYTES."""
 
     def run(batches):
-        waiting: dict[int, tuple[list, list]] = {}
+        claim()
+        waiting: dict[int, list] = {}
 
-        def flush(dim):
-            ids, vectors = waiting.pop(dim)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.concatenate(vectors).astype("<f8").tobytes()], pa.binary())],
-                names=["dim", "ids", "data"],
-            )
+        def record(dim, ids, x):
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())], names=["dim", "ids", "data"])
 
         for batch in batches:
-            for i, v in zip(batch.column("id").to_pylist(), batch.column("vector"), strict=True):
-                values = v.values
-                if i is None or values is None or values.null_count or (every and i % every):
-                    continue
-                x = np.floor(values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-                if not np.isfinite(x).all():
-                    continue
-                ids, vectors = waiting.setdefault(len(x), ([], []))
-                ids.append(i)
-                vectors.append(x)
-                if len(ids) >= size:
-                    yield flush(len(x))
-        for dim in list(waiting):
-            yield flush(dim)
+            ids, lengths, first, values = _vectors(batch.column("vector"), batch.column("id"), scale, every)
+            for dim in np.unique(lengths).tolist():
+                at = np.nonzero(lengths == dim)[0]
+                x = values[first[at][:, None] + np.arange(dim)]
+                size = QUERY_BLOCK if every else max(1, BLOCK_BYTES // (8 * max(1, dim)))
+                if dim in waiting:
+                    old_ids, old = waiting.pop(dim)
+                    at_ids, x = np.concatenate([old_ids, ids[at]]), np.concatenate([old, x])
+                else:
+                    at_ids = ids[at]
+                for i in range(0, len(at_ids) - size + 1, size):
+                    yield record(dim, at_ids[i : i + size], x[i : i + size])
+                left = len(at_ids) % size
+                if left:
+                    waiting[dim] = [at_ids[-left:], x[-left:]]
+        for dim, (ids, x) in waiting.items():
+            yield record(dim, ids, x)
 
-    out = map_arrow(rows, run, "dim int, ids binary, data binary")
-    return out.withColumn("block", F.monotonically_increasing_id())
+    return map_arrow(rows, run, "dim int, ids binary, data binary")
 
 
 def summary(x: np.ndarray, segments: int) -> np.ndarray:
@@ -71,6 +89,16 @@ def summary(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+class Candidates:
+    """A block of candidates with its statistics and their ranges."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.levels = [summary(x, s) for s in LEVELS]
+        self.low, self.high = self.levels[1].min(axis=0), self.levels[1].max(axis=0)
+        self.norm = np.linalg.norm(self.levels[1], axis=1).max()
+
+
 class TopK:
     """The k best of each query of a block so far."""
 
@@ -85,12 +113,18 @@ class TopK:
             return np.full(len(self.ids), -np.inf)
         return np.where(self.other[:, -1] >= 0, self.score[:, -1].astype(float), -np.inf)
 
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        small = np.abs(self.x).max(initial=0) * np.abs(x).max(initial=0) * max(1, x.shape[1]) < EXACT
+    def add(self, block: Candidates) -> None:
+        ids, x = block.ids, block.x
         floor = self.floor()
+        mine = self.levels[1]
+        most = np.maximum(mine, 0) @ block.high + np.minimum(mine, 0) @ block.low
+        if not (most + 1e-9 * (np.linalg.norm(mine, axis=1) * block.norm + 1) >= floor).any():
+            return
+        small = np.abs(self.x).max(initial=0) * np.abs(x).max(initial=0) * max(1, x.shape[1]) < EXACT
+        if not small and float(np.abs(self.x).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] >= 2.0**63:
+            raise OverflowError("inner products beyond 64 bits")
         live = None
-        for mine, segments in zip(self.levels, LEVELS, strict=True):
-            theirs = summary(x, segments)
+        for mine, theirs in zip(self.levels, block.levels, strict=True):
             if live is None:
                 bound = mine @ theirs.T
                 slack = 1e-9 * (np.linalg.norm(mine, axis=1)[:, None] * np.linalg.norm(theirs, axis=1)[None, :] + 1)
@@ -132,37 +166,41 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 2
 
     Defined results: vectors that are null, or hold a null or a component that isn't finite, take no part, nor do rows
     without an id; vectors of different length never meet. Rows that repeat an id are candidates each, but never for
-    their own id. Components times ``scale`` are floored in doubles; products are exact while they fit 64 bits.
+    their own id. Components times ``scale`` are floored in doubles; products that could leave 64 bits raise.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    lanes = lanes or max(8, spark.sparkContext.defaultParallelism * 2)
-    candidates = stage(_blocks(rows, CANDIDATE_BLOCK, scale, None), "search-candidates")
-    queries = stage(_blocks(rows.filter(F.col("id") % every == 0).repartition(max(1, lanes // 8)), QUERY_BLOCK, scale, every), "search-queries")
-    blocks = queries.select("block", "dim")
-    lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
-    left = candidates.select("dim", lane.alias("lane"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
-    left = left.join(blocks.withColumnRenamed("block", "q_block"), "dim")  # each block of candidates meets each of queries
-    right = queries.select(F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    met = left.select("q_block", "lane", "dim", "c_ids", "c_data").join(right, ["q_block", "lane"]).select("q_block", "dim", "q_ids", "q_data", "c_ids", "c_data")
+    candidates = stage(_blocks(rows, scale, None).withColumn("block", F.monotonically_increasing_id()), "search-candidates")
+    queries = stage(_blocks(rows.filter(F.col("id") % every == 0), scale, every), "search-queries")
+    total, blocks = candidates.agg(F.coalesce(F.sum(F.length("data").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    lanes = lanes or max(-(-total // LANE_BYTES), min(blocks, spark.sparkContext.defaultParallelism), 1)
+    left = candidates.select(F.pmod(F.xxhash64("block"), F.lit(lanes)).alias("lane"), F.lit(0).alias("kind"), "dim", "ids", "data")
+    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"), F.lit(1).alias("kind"), "dim", "ids", "data")
+    met = left.unionByName(right).repartition(int(lanes), "lane").sortWithinPartitions("lane", "kind")
 
     def run(batches):
-        best: dict[int, TopK] = {}
+        claim()
+        held: dict[int, list[Candidates]] = {}
+        lane = None
         for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                if (top := best.get(row["q_block"])) is None:
-                    q = np.frombuffer(row["q_ids"], "<i8")
-                    top = best[row["q_block"]] = TopK(q, np.frombuffer(row["q_data"], "<f8").reshape(len(q), dim), k)
-                c = np.frombuffer(row["c_ids"], "<i8")
-                top.add(c, np.frombuffer(row["c_data"], "<f8").reshape(len(c), dim))
-        for top in best.values():
-            real = top.score.ravel() != np.iinfo(np.int64).min
-            width = top.score.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(top.ids, width)[real]), pa.array(top.other.ravel()[real]), pa.array(top.score.ravel()[real])],
-                names=["query_id", "vec_id", "score"],
-            )
+            for i in range(batch.num_rows):
+                at, kind, dim, ids, data = (batch.column(c)[i] for c in range(5))
+                if at.as_py() != lane:
+                    lane, held = at.as_py(), {}
+                ids = np.frombuffer(ids.as_buffer(), "<i8")
+                x = np.frombuffer(data.as_buffer(), "<f8").reshape(len(ids), dim.as_py())
+                if kind.as_py() == 0:
+                    held.setdefault(dim.as_py(), []).append(Candidates(ids.copy(), x.copy()))
+                    continue
+                top = TopK(ids, x, k)
+                for block in held.get(dim.as_py(), ()):
+                    top.add(block)
+                real = top.score.ravel() != np.iinfo(np.int64).min
+                width = top.score.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(top.ids, width)[real]), pa.array(top.other.ravel()[real]), pa.array(top.score.ravel()[real])],
+                    names=["query_id", "vec_id", "score"],
+                )
 
     partial = map_arrow(met, run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
