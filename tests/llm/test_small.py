@@ -1,10 +1,12 @@
 """Operators on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import collections
+import functools
 import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark.llm import bpe, exact_dedup, ngram_join, packing, quality, range_coder, sampling, token_files, toxicity, unigram, url_filter, vector_search
@@ -24,11 +26,16 @@ def none(spark):
     return spark.createDataFrame([], CLASH)
 
 
-def test_empty_tables(spark, none):
+def _written(docs, folder):
+    token_files.write(docs, str(folder / "files"))
+    return str(folder / "files")
+
+
+def test_empty_tables(spark, none, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     for df in (
         exact_dedup.exact_dedup(none), exact_dedup.distinct_texts(none), ngram_join.ngram_components(none), ngram_join.one_of_each(none),
-        packing.pack(none), quality.quality(none), sampling.sample_segmentations(none), toxicity.toxicity(none, labels), unigram.token_counts(none),
+        packing.pack(none), token_files.read(spark, _written(none, tmp_path)), quality.quality(none), sampling.sample_segmentations(none), toxicity.toxicity(none, labels), unigram.token_counts(none),
         url_filter.url_filter(spark.createDataFrame([], "page_id long, url string")),
         vector_search.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>")),
     ):
@@ -107,21 +114,39 @@ def test_ngram_components_of_copies_that_share_changes(spark):
 
 def test_range_coder_round_trip():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 127, 128, 129, 4000):
-        for ids in (rng.integers(0, 50257, n), rng.zipf(1.4, n) % 50257, np.full(n, 50256)):
+    for n in (0, 1, 1023, 1024, 1025, 5000):
+        for ids in (rng.integers(0, 50257, n), rng.zipf(1.4, n) % 50257, np.full(n, 50256), np.arange(n) % 300):
             block = range_coder.pack_block([None, 5], [ids[: n // 2].astype(np.uint16), ids[n // 2 :].astype(np.uint16)], 17, 50257)
-            first, docs, lengths, back = range_coder.unpack_block(block, 50257)
+            first, docs, lengths, back = range_coder.unpack_block(block)
             assert first == 17 and docs.tolist() == [range_coder.NULL_ID, 5] and lengths.tolist() == [n // 2, n - n // 2] and (back == ids).all()
-    with pytest.raises(ValueError):
-        range_coder.unpack_block(block[:-1] + b"\0" if block[-1] else block[:-1] + b"\1", 50257)
+    wide = rng.integers(0, 1 << 21, 3000)
+    assert (range_coder.unpack_block(range_coder.pack_block([1], [wide], 0, 1 << 21))[3] == wide).all()
+    for at in (0, len(block) // 2, len(block) - 1):
+        with pytest.raises(ValueError):
+            range_coder.unpack_block(block[:at] + bytes([block[at] ^ 1]) + block[at + 1 :])
 
 
-def _ids(text):
+def test_range_coder_compresses():
+    """Better than the ids' order-0 entropy, and than zlib."""
+    encode = bpe.encoder(bpe.file_path())
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id").column("text").to_pylist()
+    ids = np.concatenate([encode.ids(t) for t in texts])
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    bits = 8 * len(range_coder.pack_block([1], [ids], 0, 50257)) / len(ids)
+    assert bits < -(share * np.log2(share)).sum() - 0.5 and bits < 8 * len(zlib.compress(ids.tobytes())) / len(ids) - 1
+
+
+@functools.cache
+def _tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.file_path())
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [0]
+    return t
+
+
+def _ids(text):
+    return _tokenizer().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def _crc(ids):
@@ -132,6 +157,11 @@ def test_bpe_agrees_with_the_library():
     e = bpe.encoder(bpe.file_path())
     for _, t in [*TEXTS, (0, "it's  <|endoftext|> 12ab\r\n\u2028x\u00a0y ﷽ ñ")]:
         assert e.ids(t).tolist() == _ids(t)
+    rng = np.random.default_rng(0)
+    for letters in (list("ab  \n\n\t\r's1.,é\xa0-\x85\x1c "), list("ab'  \n.,s "), list("a \n"), list("ab'&\x01  …€é中"), ["'s", "'ll", " ", "x", "1", "é", "!", "\n", "²", "½"]):
+        for _ in range(300):
+            t = "".join(rng.choice(letters, int(rng.integers(0, 14))))
+            assert e.ids(t).tolist() == _ids(t), repr(t)
 
 
 def test_token_files(spark, docs, tmp_path):
@@ -203,13 +233,14 @@ def test_decoding_of_whole_tables(spark, docs, tmp_path):
 
 
 def test_url_filter(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://A.NET", "http://A.net/x", "https://b.example.net/en/1?x=/fr/", "x://b.example.net/fr/#a", "a://example.com/de/", "a://my.org/fr/q", "a://org/fr", "a://m.ads-track.example.com/en/", "a://xnet/", "a://u://v.net/"]
+    urls = [None, "", "no scheme", "http://", "HTTP://A.NET", "http://A.net/x", "https://b.example.net/en/1?x=/fr/", "x://b.example.net/fr/#a", "a://example.com/de/", "a://my.org/fr/q", "a://org/fr", "a://m.ads-track.example.com/en/", "a://xnet/", "a://u://v.net/", "a://casino-win.example.com/", "a://casino-win.example.org/fr/"]
     rows = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     got = [(rows[i].host, rows[i].path, rows[i].rule, rows[i].verdict) for i in range(len(urls))]
     assert got == [
         ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("a.net", "", None, "allow"), ("a.net", "/x", "net/", "block"),
         ("b.example.net", "/en/1", "example.net/en/", "allow"), ("b.example.net", "/fr/", "net/", "block"), ("example.com", "/de/", "example.com/de/", "block"), ("my.org", "/fr/q", "org/fr/", "allow"),
         ("org", "/fr", None, "allow"), ("m.ads-track.example.com", "/en/", None, "block"), ("xnet", "/", None, "allow"), ("u:", "//v.net/", None, "allow"),
+        ("casino-win.example.com", "/", None, "block"), ("casino-win.example.org", "/fr/", "org/fr/", "allow"),
     ]
 
 
@@ -232,7 +263,7 @@ def test_restoring():
             model[toxicity.LETTERS.find(a) + 1 if a != " " else 0, toxicity.LETTERS.find(c) + 1 if c != " " else 0] = -0.5
     r = toxicity.Restorer(model)
     assert r.restore(["1d10t", "i.d.i.o.t", "iiidiooot", "m0r0n", "$cum"]) == ["idiot", "idiot", "idiot", "moron", "scum"]
-    assert list(toxicity.spaced_out("so i d i o t it is")) == ["idiot"]
+    assert toxicity.spaced_out("so i d i o t it is a b c".split()) == ["idiot"]
 
 
 def test_doubled_letters_are_undone():
