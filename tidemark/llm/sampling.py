@@ -21,7 +21,6 @@ they don't depend on batches, partitions or retries.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 
@@ -38,9 +37,9 @@ from .unigram import MARK, model_path, pieces
 K = 2
 SEED = 20
 BYTE_LOGP = -14.0
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Cells (word, place, length) of lattices that are solved at a time, and of those that a worker keeps for later slices.
-CELLS, KEPT_CELLS = 3 << 20, 6 << 20
+CELLS, KEPT_CELLS = 1 << 20, 2 << 20
 #: Occurrences in a worker's first slice that make it keep a word's lattice.
 OFTEN = 3
 #: Prefixes below this probability are not followed further for siblings: all their mass is below double precision.
@@ -74,13 +73,36 @@ def uniform(*parts) -> np.ndarray:
     return ((h >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-class Lattices:
+class Pieces:
+    """What decoding needs of a vocabulary: the bytes of its pieces, spaces for marks."""
+
+    def __init__(self, path: str):
+        each = [bytes([int(t[3:5], 16)]) if k == 6 else t.replace(MARK, " ").encode() for t, _, k in pieces(path)]
+        self.size = np.array([len(x) for x in each])
+        self.bytes, self.first = np.frombuffer(b"".join(each), np.uint8), np.cumsum(self.size) - self.size
+
+    def decode_all(self, lists: list[np.ndarray]) -> list[str]:
+        """Texts of id lists: byte pieces are joined, marks are spaces, and the mark put in front goes."""
+        if not lists:
+            return []
+        ids = np.concatenate(lists).astype(np.int64)
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        raw = self.bytes[np.repeat(self.first[ids] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        stop = np.append(0, ends)[np.cumsum([len(x) for x in lists])].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *stop], stop)]
+        return [t[1:] if t[:1] == " " else t for t in texts]
+
+    def decode(self, ids) -> str:
+        return self.decode_all([np.asarray(ids, np.int64)])[0]
+
+
+class Lattices(Pieces):
     """The vocabulary's trie as a dense table over the WIDE commonest characters, and sums over segments' lattices."""
 
     def __init__(self, path: str):
+        super().__init__(path)
         vocabulary = pieces(path)
-        self.text = [p for p, _, _ in vocabulary]
-        self.kind = np.array([t for _, _, t in vocabulary])
         self.byte = np.zeros(256, np.int32)
         normal = []
         for i, (piece, score, kind) in enumerate(vocabulary):
@@ -246,29 +268,6 @@ class Lattices:
         ids[:, :, 0] = np.where(unknown, np.where(spelt == 1, self.byte[codes & 0xFF], -2 - spelt.astype(np.int32)), ids[:, :, 0])
         return at, ids, cumulative, logs, codes, size
 
-    @functools.cached_property
-    def raw(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes of all pieces, spaces for marks, with each piece's first place and length."""
-        each = [bytes([int(t[3:5], 16)]) if k == 6 else t.replace(MARK, " ").encode() for t, k in zip(self.text, self.kind, strict=True)]
-        size = np.array([len(x) for x in each])
-        return np.frombuffer(b"".join(each), np.uint8), np.cumsum(size) - size, size
-
-    def decode_all(self, lists: list[np.ndarray]) -> list[str]:
-        """Texts of id lists: byte pieces are joined, marks are spaces, and the mark put in front goes."""
-        if not lists:
-            return []
-        every, first, size = self.raw
-        ids = np.concatenate(lists).astype(np.int64)
-        n = size[ids]
-        ends = np.cumsum(n)
-        raw = every[np.repeat(first[ids] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
-        stop = np.append(0, ends)[np.cumsum([len(x) for x in lists])].tolist()
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *stop], stop)]
-        return [t[1:] if t[:1] == " " else t for t in texts]
-
-    def decode(self, ids) -> str:
-        return self.decode_all([np.asarray(ids, np.int64)])[0]
-
 
 def lattices(path: str) -> Lattices:
     return store(("lattices", path), lambda: Lattices(path))
@@ -292,6 +291,10 @@ class Slice:
         empty = np.zeros(0, np.int32)
         self.flat_ids = np.concatenate([empty, *(g[1].ravel() for g in self.groups)])
         self.flat_logs = np.concatenate([np.zeros(0), *(g[3].ravel() for g in self.groups)])
+        at_ids, at_logs = np.cumsum(cells) - cells, np.cumsum(spans) - spans
+        for i in range(len(self.lat.kept_groups), len(self.groups)):  # one copy is enough
+            at, ids, cumulative, logs, codes, size = self.groups[i]
+            self.groups[i] = (at, self.flat_ids[at_ids[i] : at_ids[i] + ids.size].reshape(ids.shape), cumulative, self.flat_logs[at_logs[i] : at_logs[i] + logs.size].reshape(logs.shape), codes, size)
         self.group, self.row = group_of[word], row_of[word]
         self.base = ((np.cumsum(cells) - cells)[group_of] + row_of * (widths * self.m)[group_of])[word]
         log_base = (np.cumsum(spans) - spans)[group_of] + row_of * (widths + self.m + 1)[group_of]
@@ -520,9 +523,10 @@ def _prefixes(part: Slice, path: tuple[np.ndarray, ...], at: np.ndarray):
         todo, width = np.array(later, np.int64), width * 8
 
 
-def sample_segmentations(docs: DataFrame, k: int = K, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = K, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, decoded: str | None = None) -> DataFrame:
     """Up to k rows per row: id, rank (from 1), n_pieces, ids (binary, little-endian unsigned 16-bit), logp, gumbel,
-    log_inclusion. Fewer where the lattice has fewer segmentations. No shuffle.
+    log_inclusion, and in the column ``decoded``, where it is named, the text that the ids decode to, as decode() gives it.
+    Fewer where the lattice has fewer segmentations. No shuffle.
 
     Defined results: a null or empty text has one segmentation, without pieces, of log p 0. Rows that repeat an id
     share its random numbers, so equal rows give equal samples; a null id counts as key 0. Extra columns are ignored.
@@ -544,11 +548,12 @@ def sample_segmentations(docs: DataFrame, k: int = K, seed: int = SEED, id_col:
                         pa.array([len(f[2]) for f in found], pa.int64()),
                         pa.array([f[2].astype("<u2").tobytes() for f in found], pa.binary()),
                         *(pa.array([f[i] for f in found], pa.float64()) for i in (3, 4, 5)),
+                        *([pa.array(lat.decode_all([f[2] for f in found]), pa.string())] if decoded else []),
                     ],
-                    names=[id_col, "rank", "n_pieces", "ids", "logp", "gumbel", "log_inclusion"],
+                    names=[id_col, "rank", "n_pieces", "ids", "logp", "gumbel", "log_inclusion", *([decoded] if decoded else [])],
                 )
 
-    return map_arrow(rows, run, f"{id_col} long, rank int, n_pieces long, ids binary, logp double, gumbel double, log_inclusion double")
+    return map_arrow(rows, run, f"{id_col} long, rank int, n_pieces long, ids binary, logp double, gumbel double, log_inclusion double" + (f", {decoded} string" if decoded else ""))
 
 
 def decode(samples: DataFrame, out: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -558,7 +563,7 @@ def decode(samples: DataFrame, out: str = "text", ids_col: str = "ids", path: st
     names = samples.columns
 
     def run(batches):
-        lat = lattices(path)
+        lat = store(("pieces", path), lambda: Pieces(path))
         for batch in batches:
             for piece in slices(batch, "_ids", SLICE_BYTES):
                 rows = piece.column("_ids").to_pylist()
@@ -571,8 +576,8 @@ def decode(samples: DataFrame, out: str = "text", ids_col: str = "ids", path: st
 
 def query(spark, sf_dir):
     """The samples, decoded again; of the decoded text its crc32 (UTF-8)."""
-    samples = sample_segmentations(table(spark, sf_dir, "documents"))
-    return decode(samples, "_text").select(*samples.columns, F.crc32(F.col("_text").cast("binary")).alias("text_crc32"))
+    samples = sample_segmentations(table(spark, sf_dir, "documents"), decoded="_text")
+    return samples.withColumn("text_crc32", F.crc32(F.col("_text").cast("binary"))).drop("_text")
 
 
 SQL = None
