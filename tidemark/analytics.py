@@ -422,8 +422,11 @@ def factor_exposure(returns: DataFrame, factors: DataFrame, window: int = 252) -
 
 #: Market stress windows, both ends included.
 STRESS_WINDOWS = {
-    "covid_crash": ("2020-02-19", "2020-03-23"), "rate_hikes_2022": ("2022-01-03", "2022-10-12"), "q4_2018": ("2018-10-01", "2018-12-24"),
-    "china_2015": ("2015-08-10", "2016-02-11"), "banks_2023": ("2023-03-08", "2023-03-24"),
+    "COVID crash (2020-02..03)": ("2020-02-19", "2020-03-23"),
+    "2018 Q4 selloff": ("2018-09-20", "2018-12-24"),
+    "2022 rate shock": ("2022-01-03", "2022-10-12"),
+    "2015-16 mini-correction": ("2015-11-03", "2016-02-11"),
+    "2024 Aug yen-carry unwind": ("2024-07-16", "2024-08-05"),
 }
 
 
