@@ -1,19 +1,21 @@
 """Similarity join of documents on their sets of word n-grams, by multiple global token orders.
 
 Under any total order of tokens, two sets of Jaccard similarity t or more share at least l tokens among the first
-n - ceil(t * n) + l tokens of each (their prefixes; l grows with n, and the smaller of the two l holds). The join demands
-that for two different orders at once: the first order's prefixes make the candidates, the second order's prefixes must
-share l tokens too, and only pairs that pass both filters are verified on the whole sets. A document of whose prefix
-fewer than l tokens occur in any other prefix leaves at once. Both orders put rare tokens first, by classes of a count sketch over all
-documents, and break ties by different hashes; a passage that thousands of documents share thus stays out of prefixes,
-while two orders rarely let the same chance meeting through.
+n - ceil(t * n) + l tokens of each (their prefixes; l grows with n, and the smaller of the two l holds). The join holds two
+different orders against each other: a token that is rare enough in the first order's prefixes makes candidates, a document
+with fewer than l tokens shared in its first prefix leaves at once, and a pair must then share l tokens of its prefixes under
+the first order and l under the second before it is verified on the whole sets. Both orders put rare tokens first, by classes
+of a count sketch over all documents, and break ties by different hashes; a passage that thousands of documents share thus
+stays out of prefixes, while two orders rarely let the same chance meeting through.
 
 Hot groups. Documents with the same set are one node. The nodes that share a token are first compared with one of them
-only, the hub, which has the fewest tokens of its own; links make components. Two nodes of a hub that lie in different
-components are then compared by their differences from it: sets differ as much as their differences from a third set do,
-so of two similar nodes, at least one of them not linked with the hub, the differences must share tokens among the first
-of an order, too. Copies that were changed in different places share few of these. A group of thousands of near copies
-thus costs about one verification each, not one for each pair, and no link between different texts is lost.
+only, the hub, which has the fewest tokens of its own; links make components. Where BUCKET nodes or fewer share a token,
+those of different components are compared as they are. For larger ones, the hubs of a component give way to one of them,
+the chief. Two nodes of a chief that lie in different components are compared by their differences from it: sets
+differ as much as their differences from a third set do, so of two similar nodes, at least one of them not linked with the
+chief, the differences must share tokens among the first of an order, too. Copies that were changed in different places
+share few of these, and the many nodes of the chief's own component only meet the others. A group of thousands of near
+copies thus costs about one verification each, not one for each pair, and no link between different texts is lost.
 
 Sets are kept as 64-bit hashes of tokens, nodes as 128-bit hashes of sets; texts are read three times (sketch, prefixes,
 sets of candidates only) instead of storing all sets.
@@ -34,20 +36,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import MAX_FILTER_BYTES, Level
-from .common import map_arrow, slices, stage, store, table, unstage
+from .common import claim, map_arrow, slices, stage, store, table, unstage
 
 SLICE_BYTES = 3 << 20
 #: Counters of the sketch, and the rows in which a partition's counts are sent.
 COUNTERS, CHUNKS = 1 << 20, 64
-KEPT_WORDS = 200_000
+#: Bytes of words that a worker keeps, about.
+KEPT_BYTES, ENTRY_BYTES = 40 << 20, 200
+#: Nodes that share a token, up to which their pairs are compared as they are: so many rows for a node and token at most.
+BUCKET = 16
 U = np.uint64
 
 
 class WordHashes(dict):
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
+        self.held += ENTRY_BYTES + len(word)
+        if self.held > KEPT_BYTES:
             self.clear()
+            self.held = 0
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
 
@@ -107,6 +115,7 @@ def rarity_classes(texts: DataFrame, n: int) -> np.ndarray:
     """
 
     def count(batches):
+        word_hashes()
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -154,20 +163,20 @@ def _signatures(texts: DataFrame, classes: np.ndarray, n: int, percent: int) ->
 
 
 def _sets(texts: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(s, tokens, second): whole sets and their prefixes under the second order."""
+    """(s, tokens, first, second): whole sets and their prefixes under either order."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES // 2):
                 sets = [x for t in part.column("text").to_pylist() if len(x := shingles(t, n))]
                 lists = []
-                for of in (sets, [prefix(x, classes, percent, 2) for x in sets]):
+                for of in (sets, *([prefix(x, classes, percent, seed) for x in sets] for seed in (1, 2))):
                     ends = np.append(0, np.cumsum([len(x) for x in of])).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(ends, np.concatenate(of).view(np.int64) if of else np.zeros(0, np.int64)))
                 hashes = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), *lists], names=["s", "tokens", "second"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), *lists], names=["s", "tokens", "first", "second"])
 
-    return map_arrow(texts, run, "s binary, tokens array<long>, second array<long>")
+    return map_arrow(texts, run, "s binary, tokens array<long>, first array<long>, second array<long>")
 
 
 def _least_shared(n, percent: int) -> F.Column:
@@ -175,11 +184,12 @@ def _least_shared(n, percent: int) -> F.Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) those that are similar: first the second order's prefixes, then the whole sets."""
+    """Of distinct pairs (a, b) those that are similar: both orders' prefixes first, then the whole sets."""
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("second").alias(f"second_{side}")), side)
-    shared = F.size(F.array_intersect("second_a", "second_b"))
-    pairs = pairs.filter(shared >= _least_shared(F.least("n_a", "n_b"), percent)).select("a", "b", "n_a", "n_b")
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("first", "second"))), side)
+    least = _least_shared(F.least("n_a", "n_b"), percent)
+    passed = [F.size(F.array_intersect(f"{c}_a", f"{c}_b")) >= least for c in ("first", "second")]
+    pairs = pairs.filter(passed[0] & passed[1]).select("a", "b", "n_a", "n_b")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("tokens").alias(f"set_{side}")), side)
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -208,20 +218,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _differences(met: DataFrame, sets: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
-    """A row for each token of the prefix of the difference between a node's set and its hub's, of d tokens.
+    """A row for each token of the prefix of the difference between a node's set and its chief's, of d tokens.
 
     Let k = (1 - t) / (1 + t), so that sets of x and y tokens are similar if they differ in k * (x + y) tokens at most,
-    and let s = d - k * (n + hub_n), above 0 for a node that isn't linked with its hub. The differences of two similar
+    and let s = d - k * (n + hub_n), above 0 for a node that isn't linked with its chief. The differences of two similar
     nodes x (not linked) and y share at least max(1, s_x / (1 + k), (1 - k) * d_y / 2) tokens, and if y isn't linked
-    either, also (1 - k) * d_x / 2. Tokens have their ``rank`` in the order. So a linked node has one prefix, always ``core``; one that isn't linked has a longer
-    prefix to meet linked nodes, of which the ``core`` meets the others.
+    either, also (1 - k) * d_x / 2. Tokens have their ``rank`` in the order. So a linked node has one prefix, always
+    ``core``; one that isn't linked has a longer prefix to meet linked nodes, of which the ``core`` meets the others.
     """
     for side, key in (("x", "node"), ("h", "hub")):
         met = met.join(sets.select(F.col("node").alias(key), F.col("tokens").alias(f"set_{side}")), key)
-    differ = met.select("hub", "hub_n", "node", "n", "part", F.concat(F.array_except("set_x", "set_h"), F.array_except("set_h", "set_x")).alias("differ"))
+    differ = met.select("hub", "hub_n", "node", "n", "part", "main", F.concat(F.array_except("set_x", "set_h"), F.array_except("set_h", "set_x")).alias("differ"))
     k = (100 - percent) / (100 + percent)
 
     def run(batches):
+        claim()
         for batch in batches:
             lists = batch.column("differ")
             ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
@@ -235,15 +246,18 @@ def _differences(met: DataFrame, sets: DataFrame, classes: np.ndarray, percent:
             first = []
             for i, j, m in zip(ends[:-1].tolist(), ends[1:].tolist(), most.tolist(), strict=True):
                 first.append(flat[i:j][np.argsort(_order(flat[i:j], classes, 1))[:m]])
-            n = np.array([len(x) for x in first], np.int64)
-            at = np.repeat(np.arange(len(n)), n)
-            rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            columns = {c: batch.column(c).take(pa.array(at)) for c in ("hub", "node", "n", "part")}
-            columns |= {"d": pa.array(d[at].astype(np.int64)), "linked": pa.array(linked[at]), "core": pa.array(rank < core[at]), "rank": pa.array(rank)}
-            columns["token"] = pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64))
+            upto = np.append(0, np.cumsum([len(x) for x in first])).astype(np.int32)
+            columns = {c: batch.column(c) for c in ("hub", "node", "n", "part", "main")}
+            columns |= {"d": pa.array(d.astype(np.int64)), "linked": pa.array(linked), "core": pa.array(core)}
+            columns["tokens"] = pa.ListArray.from_arrays(upto, np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64))
             yield pa.RecordBatch.from_pydict(columns)
 
-    return map_arrow(differ, run, "hub long, node long, n long, part long, d long, linked boolean, core boolean, rank long, token long")
+    return map_arrow(differ, run, "hub long, node long, n long, part long, main boolean, d long, linked boolean, core long, tokens array<long>")
+
+
+def _by_token(differ: DataFrame) -> DataFrame:
+    rows = differ.select("*", F.posexplode("tokens").alias("rank", "token")).drop("tokens")
+    return rows.withColumn("core", F.col("rank") < F.col("core"))
 
 
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,8 +280,9 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     shared_alive = stage(shared.drop("size").join(alive, "node"), "join-alive")
     # An original that others were made from has few tokens of its own, so it becomes the hub of its tokens.
     hubs = shared_alive.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("lonely", "n", "node")).alias("hub")).filter(F.col("k") > 1)
-    met = shared_alive.select("token", "node", "n").join(hubs.select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "token")
-    met = stage(met.filter(F.col("node") != F.col("hub")).select("hub", "hub_n", "node", "n").distinct(), "join-met")
+    buckets = shared_alive.select("token", "node", "n").join(hubs.select("token", "k", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "token")
+    buckets = stage(buckets.filter(F.col("node") != F.col("hub")), "join-buckets")
+    met = stage(buckets.select("hub", "hub_n", "node", "n").distinct(), "join-met")
     unstage(shared)
     unstage(shared_alive)
     unstage(wide)
@@ -277,33 +292,52 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
 
     active = nodes.join(met.select("node").union(met.select("hub")).distinct(), "node", "left_semi").select("node", "s", "n", "id")
     active = stage(active, "join-active")
-    count = active.count()
-    chosen = texts
-    if count * 10 // 6 < MAX_FILTER_BYTES // 2:  # else all sets are computed
-        chosen = texts.filter(Level(1, max(1, count), 0.01).fill(active.select(F.coalesce("id", F.lit(0)).alias("key"))).passes(F.coalesce("id", F.lit(0).cast("long"))))
-    sets = _sets(chosen, classes, n, percent).groupBy("s").agg(F.first("tokens").alias("tokens"), F.first("second").alias("second"))
+    chosen = texts.join(active.select("id").distinct(), texts["id"].eqNullSafe(active["id"]), "left_semi")
+    sets = _sets(chosen, classes, n, percent).groupBy("s").agg(*(F.first(c).alias(c) for c in ("tokens", "first", "second")))
     sets = stage(active.select("node", "s", "n").join(sets, "s").drop("s"), "join-sets")
 
     hubs = met.filter(long_enough(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     links = stage(_verified(hubs, sets, percent), "join-links")
     parts = components(links)
 
-    # Members of a hub that lie in different components are similar only if their differences from the hub are much alike.
-    placed = met.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    placed = stage(placed, "join-placed")
-    several = placed.groupBy("hub").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("hub")
-    differ = stage(_differences(placed.join(several, "hub"), sets, classes, percent), "join-differences")
-    x, y = (differ.select("hub", "token", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "part", "d", "linked", "core", "rank"))) for side in "xy")
+    # Pairs of small buckets, one node of each component against the others', are compared as they are.
+    labelled = buckets.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    few = labelled.filter(F.col("k") <= BUCKET).select("token", "node", "n", "part")
+    mixed = few.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
+    few = few.join(mixed, "token")
+    x, y = (few.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "part"))) for side in "xy")
+    apart = (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & long_enough(F.col("x_n"), F.col("y_n"))
+    small = stage(x.join(y, "token").filter(apart).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "join-small")
+
+    # In larger ones, the hubs of a component give way to the one that most nodes meet.
+    large = buckets.filter(F.col("k") > BUCKET).select("hub", "hub_n", "node", "n").distinct()
+    led = large.groupBy("hub", "hub_n").count().join(parts.withColumnRenamed("node", "hub"), "hub", "left")
+    led = stage(led.select("hub", "hub_n", "count", F.coalesce("component", "hub").alias("hub_part")), "join-led")
+    chief = led.groupBy("hub_part").agg(F.max(F.struct("count", "hub", "hub_n")).alias("chief")).select("hub_part", "chief.hub", "chief.hub_n")
+    follow = led.select(F.col("hub").alias("old"), "hub_part").join(chief, "hub_part")
+    placed = large.select(F.col("hub").alias("old"), "node", "n").join(follow, "old").drop("old").filter(F.col("node") != F.col("hub")).distinct()
+    placed = placed.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    placed = stage(placed.withColumn("main", F.col("part") == F.col("hub_part")), "join-placed")
+    # Only nodes outside their chief's component can still have a link to find: with the chief, or with another of its nodes.
+    others = placed.filter(~F.col("main"))
+    direct = others.filter(long_enough(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    differ = stage(_differences(placed.join(others.select("hub").distinct(), "hub", "left_semi"), sets, classes, percent), "join-differences")
+    rows = _by_token(differ)
+    x, y = (rows.select("hub", "token", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "part", "main", "d", "linked", "core", "rank"))) for side in "xy")
     near = (100 + percent) * F.abs(F.col("x_d") - F.col("y_d")) <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
     meet = (F.col("x_core") | F.col("y_linked")) & (F.col("y_core") | F.col("x_linked"))
     # If a token is the first that two differences share, they share no more than what follows in each.
     most = F.least(F.col("x_d") - F.col("x_rank"), F.col("y_d") - F.col("y_rank"))
     enough = 2 * (100 + percent) * most >= (100 + percent) * (F.col("x_d") + F.col("y_d")) - (100 - percent) * (F.col("x_n") + F.col("y_n"))
-    rest = x.join(y, ["hub", "token"]).filter(meet & enough & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & near & long_enough(F.col("x_n"), F.col("y_n")))
-    rest = stage(rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "join-rest")
+    once = (F.col("y_main") | (F.col("x_node") < F.col("y_node"))) & (F.col("x_part") != F.col("y_part"))
+    rest = x.filter("not x_main").join(y, ["hub", "token"]).filter(meet & enough & once & near & long_enough(F.col("x_n"), F.col("y_n")))
+    rest = rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).unionByName(direct).unionByName(small)
+    rest = stage(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-rest")
     more = stage(_verified(rest, sets, percent), "join-links")
     if not more.isEmpty():
         parts = components(links.unionByName(more))
+    for done in (buckets, met, active, small, led, placed, differ, rest, sets):
+        unstage(done)
 
     ids = nodes.select("node", "s", "id").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = ids.groupBy("part").agg(F.min("id").alias("component_id"))
