@@ -128,3 +128,21 @@ def test_newey_west_of_many_dates(spark, monkeypatch):
         monkeypatch.setitem(catalog.PLANS, name, (lambda d, lags=12, f=catalog.PLANS[name][0]: texts.append(f(d, lags)) or "SELECT 1 AS one", "brand_week"))
         catalog.run(spark, "/root/testdata/sf0.001", name)
         assert "lag(e, 13)" in str(texts[0])
+
+
+def test_equal_ranks_have_no_correlation(spark):
+    """A constant factor's ranks are equal however many partial deviations Spark merges."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(was, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        rows = "SELECT concat('T', n) AS ticker, date_add(DATE '2020-01-01', CAST(t AS INT)) AS date, t, {} AS {} FROM (SELECT id % 203 AS n, id div 203 AS t FROM range(12180)) AS r"
+        flat = spark.sql(blocks.rank_ic(rows.format("0e0", "value"), rows.format("CAST(xxhash64(n, t) AS DOUBLE)", "fwd")))
+        assert flat.count() == 60 and flat.filter("ic IS NOT NULL").isEmpty()
+        turned = spark.sql(blocks.rank_ic(rows.format("CAST(xxhash64(n, t) AS DOUBLE)", "value"), rows.format("0e0", "fwd")))
+        assert turned.count() == 60 and turned.filter("ic IS NOT NULL").isEmpty()
+        same = spark.sql(blocks.rank_ic(rows.format("CAST(n AS DOUBLE)", "value"), rows.format("CAST(n AS DOUBLE)", "fwd")))
+        assert [r.ic for r in same.collect()] == pytest.approx([1.0] * 60)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.dialect import DUCKDB, doubles
+from tidemark.functions.dialect import DUCKDB, SPARK, doubles
 from tidemark.ml import monitoring, training
 from tidemark.plans import blocks, catalog
 from tidemark.sources import panels
@@ -46,7 +46,7 @@ def rolling_psi_query(spark, sf_dir: str) -> DataFrame:
 
 def _ic(spark, sf_dir: str) -> DataFrame:
     views = {"panel": catalog.panel_view(spark, sf_dir, "brand_week")}
-    return stage(catalog.evaluate(spark, catalog.ICS, views).select("date", "ic"), "ic")
+    return stage(catalog.evaluate(spark, catalog.known_ics(SPARK), views).select("date", "ic"), "ic")
 
 
 def alerts_query(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.functions.dialect import Dialect, average_rank, lag, lead, roll, safe_div, trailing
+from tidemark.functions.dialect import SPARK, Dialect, average_rank, lag, lead, roll, safe_div, trailing
 from tidemark.operators.factors import REGISTRY, get_factor, layered
 
 FUND = """SELECT p_brand AS ticker, CAST(sum(p_size) AS DOUBLE) AS shares, sum(p_retailprice * p_size) AS revenue_ttm,
@@ -63,13 +63,18 @@ def forward(h: int) -> str:
     return f"SELECT ticker, date, t, {safe_div(lead('close', h + 1), lead('close', 1))} - 1 AS fwd FROM panel"
 
 
-def rank_ic(values: str, target: str, least: int = 10, by: str = "date") -> str:
+def _both_vary(d: Dialect) -> str:
+    """Spark merges partial deviations of equal values to tiny ones instead of 0, so whether ranks differ is asked of them."""
+    return " AND min(rx) < max(rx) AND min(ry) < max(ry)" if d.spark else ""
+
+
+def rank_ic(values: str, target: str, least: int = 10, by: str = "date", d: Dialect = SPARK) -> str:
     """(by..., t, n, ic): correlation of ranks, each taken over its own values, on rows that have both.
 
     values: (ticker, date, t, [factor,] value); target: (ticker, date, fwd), which is ranked once for all factors.
     """
     extra = ", factor" if "factor" in by else ""
-    return f"""SELECT {by}, max(t) AS t, count(*) AS n, CASE WHEN count(*) >= {least} THEN
+    return f"""SELECT {by}, max(t) AS t, count(*) AS n, CASE WHEN count(*) >= {least}{_both_vary(d)} THEN
         covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) END AS ic
       FROM (SELECT v.date, v.t{extra}, v.rx, f.ry FROM (SELECT ticker, date, t{extra}, {average_rank('value', by)} AS rx FROM ({values}) AS r0 WHERE value IS NOT NULL) AS v
             JOIN (SELECT ticker, date, {average_rank('fwd', 'date')} AS ry FROM ({target}) AS r1 WHERE fwd IS NOT NULL) AS f ON v.ticker = f.ticker AND v.date = f.date) AS r2
@@ -345,7 +350,7 @@ def evaluation(d: Dialect, values: str, dates: str, h: int = 5, q: int = 5, cost
     observation of the IC."""
     lets = [
         ("long_table", values),
-        ("ic_table", rank_ic("SELECT * FROM long_table", forward(h), by="date, factor")),
+        ("ic_table", rank_ic("SELECT * FROM long_table", forward(h), by="date, factor", d=d)),
         ("bucket_table", quantile_returns("SELECT * FROM long_table", q, "date, factor")),
     ]
     spread = f"""SELECT factor, avg(net) * 252 AS spread_ann, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252) AS spread_sharpe FROM (
@@ -362,12 +367,12 @@ def evaluation(d: Dialect, values: str, dates: str, h: int = 5, q: int = 5, cost
       CROSS JOIN (SELECT count(DISTINCT t) AS n FROM ({dates}) AS g0) AS g"""
 
 
-def ic_decay(values: str, horizons: tuple[int, ...], least: int = 10) -> str:
+def ic_decay(values: str, horizons: tuple[int, ...], least: int = 10, d: Dialect = SPARK) -> str:
     """(horizon, mean_ic, n): the factor is ranked once; the horizons' returns come from one pass over the panel."""
     ahead = ", ".join(f"{safe_div(lead('close', h + 1), lead('close', 1))} - 1 AS h{h}" for h in horizons)
     number = "CASE horizon " + " ".join(f"WHEN 'h{h}' THEN {h}" for h in horizons) + " END"
     return f"""SELECT {number} AS horizon, avg(ic) AS mean_ic, count(ic) AS n FROM (
-      SELECT date, horizon, CASE WHEN count(*) >= {least} THEN covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) END AS ic FROM (
+      SELECT date, horizon, CASE WHEN count(*) >= {least}{_both_vary(d)} THEN covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) END AS ic FROM (
         SELECT f.date, f.horizon, v.rx, {average_rank('f.fwd', 'f.date, f.horizon')} AS ry FROM
           (SELECT ticker, date, horizon, fwd FROM (SELECT ticker, date, {ahead} FROM panel) AS a0 UNPIVOT (fwd FOR horizon IN ({', '.join(f'h{h}' for h in horizons)}))) AS f
           LEFT JOIN (SELECT ticker, date, {average_rank('value', 'date')} AS rx FROM ({values}) AS v0 WHERE value IS NOT NULL) AS v ON v.ticker = f.ticker AND v.date = f.date) AS i0

@@ -167,11 +167,11 @@ add("neutralizer_full", lambda d: f"SELECT ticker, date, {r('value', 5)} FROM ({
 # --- evaluation ----------------------------------------------------------------------------------------------------
 EVAL = ("mom_21", "mom_63", "rev_5", "vol_21", "bb_pos", "sma_ratio_50", "atr_21", "vol_trend")
 add("eval_forward_returns", lambda d: f"SELECT ticker, date, {r('fwd')} FROM ({b.forward(5)}) AS x")
-add("eval_ic_series", lambda d: f"SELECT date, n, {r('ic')} FROM ({b.rank_ic(one(), b.forward(5))}) AS x")
+add("eval_ic_series", lambda d: f"SELECT date, n, {r('ic')} FROM ({b.rank_ic(one(), b.forward(5), d=d)}) AS x")
 
 
 def ics(d, names=b.ALL, h=5):
-    return b.rank_ic(b.long_factors(names), b.forward(h), by="date, factor")
+    return b.rank_ic(b.long_factors(names), b.forward(h), by="date, factor", d=d)
 
 
 @plan("eval_newey_west")
@@ -208,7 +208,7 @@ def _(d, lags=12):
 
 @plan("eval_ic_decay")
 def _(d):
-    return f"SELECT horizon, {r('mean_ic')}, n FROM ({b.ic_decay(one(), (1, 3, 5, 10, 15, 21, 42, 63))}) AS x"
+    return f"SELECT horizon, {r('mean_ic')}, n FROM ({b.ic_decay(one(), (1, 3, 5, 10, 15, 21, 42, 63), d=d)}) AS x"
 
 
 # --- universe and quality ------------------------------------------------------------------------------------------
@@ -432,20 +432,22 @@ def _(d):
       GROUP BY x.ticker, x.date"""
 
 
-IC = b.rank_ic(one(), b.forward(5))
-ICS = f"SELECT date, t, ic FROM ({IC}) AS i0 WHERE ic IS NOT NULL"
-add("mon_rolling_ic", lambda d: f"SELECT date, round({rolled('avg', 'ic', 63, 31)}, 6) AS mean, round({rolled('stddev_samp', 'ic', 63, 31)} / sqrt(63), 6) AS se FROM ({ICS}) AS x")
+def known_ics(d: Dialect) -> str:
+    return f"SELECT date, t, ic FROM ({b.rank_ic(one(), b.forward(5), d=d)}) AS i0 WHERE ic IS NOT NULL"
+
+
+add("mon_rolling_ic", lambda d: f"SELECT date, round({rolled('avg', 'ic', 63, 31)}, 6) AS mean, round({rolled('stddev_samp', 'ic', 63, 31)} / sqrt(63), 6) AS se FROM ({known_ics(d)}) AS x")
 
 
 @plan("mon_cusum")
 def _(d):
     run = trailing(None, by="")
-    z = f"SELECT date, t, (ic - avg(ic) OVER (PARTITION BY one)) / nullif(stddev_samp(ic) OVER (PARTITION BY one), 0) AS z FROM (SELECT *, 1 AS one FROM ({ICS}) AS i1) AS i2"
+    z = f"SELECT date, t, (ic - avg(ic) OVER (PARTITION BY one)) / nullif(stddev_samp(ic) OVER (PARTITION BY one), 0) AS z FROM (SELECT *, 1 AS one FROM ({known_ics(d)}) AS i1) AS i2"
     return f"""SELECT date, round(up - least(0, min(up) OVER ({run})), 6) AS pos, round(down - least(0, min(down) OVER ({run})), 6) AS neg FROM (
       SELECT date, t, sum(z - 0.25) OVER ({run}) AS up, sum(-z - 0.25) OVER ({run}) AS down FROM ({z}) AS z0) AS z1"""
 
 
-add("mon_regimes", lambda d: f"SELECT regime, count(*) AS n, round(avg(ic), 6) AS mean, round(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*)), 5) AS t_stat, round(avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS positive FROM (SELECT ic, ntile(6) OVER (ORDER BY t) AS regime FROM ({ICS}) AS i1) AS i2 GROUP BY regime")
+add("mon_regimes", lambda d: f"SELECT regime, count(*) AS n, round(avg(ic), 6) AS mean, round(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*)), 5) AS t_stat, round(avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS positive FROM (SELECT ic, ntile(6) OVER (ORDER BY t) AS regime FROM ({known_ics(d)}) AS i1) AS i2 GROUP BY regime")
 
 
 # --- ingestion -----------------------------------------------------------------------------------------------------
