@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import exact_dedup, ngram_join, packing, quality, toxicity
 from tidemark.llm.common import stage, table
 
+#: Words that packing keeps here, in bytes: executors hold what earlier stages grew to.
+KEPT_BYTES = 48 << 20
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; labels are those of the corpus outside the held-out fold.
@@ -50,7 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 ids; a null or empty text is the end id alone, rows that repeat an id are packed apart."""
-    return packing.pack(docs)
+    return packing.pack(docs, kept=KEPT_BYTES)
 
 
 STAGES = [

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+import corpus_pipeline
 from tidemark.llm import bpe, exact_dedup, ngram_join, packing, quality, range_coder, sampling, token_files, toxicity, unigram, url_filter, vector_search
 
 LONG = "the same words again and other words " * 400
@@ -126,6 +127,17 @@ def test_range_coder_round_trip():
             range_coder.unpack_block(block[:at] + bytes([block[at] ^ 1]) + block[at + 1 :])
 
 
+def test_words_kept_are_bounded_by_the_caller(spark):
+    """The pipeline's packing keeps fewer words than packing alone; the pieces are the same."""
+    few = bpe.encoder(bpe.file_path(), 20_000)
+    words = [f"w{i * 7919}x, y{i}" for i in range(500)]
+    many = bpe.Encoder(bpe.file_path())
+    assert all(few.ids(w).tolist() == many.ids(w).tolist() for w in words) and few.held <= 20_000 and len(few) < len(many)
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").coalesce(1)
+    pieces = [sorted(packing.pack(docs, **how).collect()) for how in ({}, {"kept": 20_000})]
+    assert pieces[0] == pieces[1] and corpus_pipeline.KEPT_BYTES < bpe.KEPT_BYTES
+
+
 def test_range_coder_compresses():
     """Better than the ids' order-0 entropy, and than zlib."""
     encode = bpe.encoder(bpe.file_path())

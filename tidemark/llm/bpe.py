@@ -114,5 +114,5 @@ def encoder_dtype(path: str) -> np.dtype:
     return np.dtype("<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
 
-def encoder(path: str) -> Encoder:
-    return store(("bpe", path), lambda: Encoder(path))
+def encoder(path: str, kept: int = KEPT_BYTES) -> Encoder:
+    return store(("bpe", path, kept), lambda: Encoder(path, kept))

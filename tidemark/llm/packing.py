@@ -21,21 +21,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, encoder_dtype, file_path
+from .bpe import KEPT_BYTES, encoder, encoder_dtype, file_path
 from .common import claim, map_arrow, slices, stage, table
 
 WINDOW = 1024
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(part, before, id, n, ids binary) of each row, staged."""
+def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, kept: int = KEPT_BYTES) -> DataFrame:
+    """(part, before, id, n, ids binary) of each row, staged. ``kept``: bytes of words that a worker keeps."""
     path = path or file_path()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        encode, before = encoder(path), 0
+        encode, before = encoder(path, kept), 0
         part = TaskContext.get().partitionId()
         for batch in batches:
             for piece in slices(batch, "text", SLICE_BYTES):
@@ -59,7 +59,7 @@ def _wide(ids: pa.Array, n: np.ndarray, width: np.dtype) -> bytes:
     return np.frombuffer(ids.buffers()[2], width, int(n.sum()), int(ends[0])).astype("<u4").tobytes()
 
 
-def pack(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, kept: int = KEPT_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Defined results: a null or empty text is the end id alone. Rows whose ids repeat or are null are packed separately.
@@ -67,7 +67,7 @@ def pack(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
     """
     path = path or file_path()
     width = encoder_dtype(path)
-    ids = tokenized(docs, id_col, text_col, path)
+    ids = tokenized(docs, id_col, text_col, path, kept)
     totals = ids.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("total")).collect()
     offsets, at = {}, 0
     for row in sorted(totals, key=lambda r: r.part):
