@@ -113,6 +113,25 @@ def test_ngram_components_of_copies_that_share_changes(spark):
         assert got == _brute_components(rows, n, percent)
 
 
+def test_ngram_pairs_of_copies_with_changes_of_their_own(spark, monkeypatch):
+    """Copies that share nothing but their original, half of them too far from it: few pairs are left to verify."""
+    rng = np.random.default_rng(17)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for at in rng.choice(150, 1 + i % 9, replace=False):
+            w[int(at)] = f"x{i}x{at}"
+        rows.append((i, " ".join(w)))
+    staged = {}
+    real = ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name: staged.setdefault(name, []).append(real(df, name)) or staged[name][-1])
+    monkeypatch.setattr(ngram_join, "unstage", lambda df: None)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()), key=str)
+    assert got == _brute_components(rows, 5, 80)
+    assert staged["join-placed"][0].count() > 300 and staged["join-rest"][0].count() < 5 * len(rows)
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 1023, 1024, 1025, 5000):

@@ -28,7 +28,9 @@ their own that share the id. A null id never is a component's id unless all its
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,8 +95,12 @@ def least_shared(n: int, percent: int) -> int:
     return 1 + n * (100 - percent) // 200
 
 
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U(40)).astype(np.int64) & (COUNTERS - 1)
+
+
 def _order(tokens: np.ndarray, classes: np.ndarray, seed: int) -> np.ndarray:
-    return (classes[(tokens >> U(40)).astype(np.int64) & (len(classes) - 1)].astype(np.uint64) << U(56)) | (_mix(tokens, seed) >> U(8))
+    return (classes[_counter(tokens)].astype(np.uint64) << U(56)) | (_mix(tokens, seed) >> U(8))
 
 
 def prefix(tokens: np.ndarray, classes: np.ndarray, percent: int, seed: int) -> np.ndarray:
@@ -107,22 +113,15 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def rarity_classes(texts: DataFrame, n: int) -> np.ndarray:
-    """A class for each counter: 128 at the mean count, 16 for each doubling.
-
-    A counter holds its token's frequency and the noise of those that share it; a prefix takes the lowest counters, so
-    tokens whose frequency stands out of the noise (its deviation is the root of the mean) don't get into prefixes.
-    """
+def _sketch(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]]) -> np.ndarray:
+    """How often each counter occurs among the hashes that batches of ``rows`` hold."""
 
     def count(batches):
         word_hashes()
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                sets = [shingles(t, n) for t in part.column("text").to_pylist()]
-                if sets:
-                    at = (np.concatenate(sets) >> U(40)).astype(np.int64) & (COUNTERS - 1)
-                    total += np.bincount(at, minlength=COUNTERS)
+            for found in hashes(batch):
+                total += np.bincount(_counter(found), minlength=COUNTERS)
         parts = total.astype("<u4").reshape(CHUNKS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "n"])
 
@@ -135,11 +134,25 @@ def rarity_classes(texts: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "n"])
 
     schema = "chunk int, n binary"
-    sums = map_arrow(map_arrow(texts.select("text"), count, schema).repartition(CHUNKS, "chunk"), add, schema)
+    sums = map_arrow(map_arrow(rows, count, schema).repartition(CHUNKS, "chunk"), add, schema)
     counts = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.int64)
     for row in sums.collect():  # CHUNKS rows
         counts[row.chunk] += np.frombuffer(row.n, "<i8")
-    counts = counts.ravel()
+    return counts.ravel()
+
+
+def rarity_classes(texts: DataFrame, n: int) -> np.ndarray:
+    """A class for each counter: 128 at the mean count, 16 for each doubling.
+
+    A counter holds its token's frequency and the noise of those that share it; a prefix takes the lowest counters, so
+    tokens whose frequency stands out of the noise (its deviation is the root of the mean) don't get into prefixes.
+    """
+
+    def hashes(batch):
+        for part in slices(batch, "text", SLICE_BYTES):
+            yield np.concatenate([np.zeros(0, np.uint64), *(shingles(t, n) for t in part.column("text").to_pylist())])
+
+    counts = _sketch(texts.select("text"), hashes)
     return np.clip(np.rint(16 * np.log2(np.maximum(counts, 1) / max(1.0, counts.mean()))) + 128, 0, 255).astype(np.uint8)
 
 
@@ -217,7 +230,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _differences(met: DataFrame, sets: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
+def _by_hub(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of about SLICE_BYTES of differences: rows, ends of their tokens, these, and these hashed together with the hub."""
+    starts = np.asarray(batch.column("differ").offsets)[:-1]
+    cuts = np.flatnonzero(np.diff(starts // (SLICE_BYTES // 8))) + 1
+    for i, j in itertools.pairwise([0, *cuts.tolist(), len(starts)]):
+        part = batch.slice(i, j - i)
+        lists = part.column("differ")
+        ends = np.asarray(lists.offsets)
+        flat = np.asarray(lists.values).view(np.uint64)[ends[0] : ends[-1]]
+        hubs = np.repeat(np.asarray(part.column("hub")).view(np.uint64), np.diff(ends))
+        yield part, ends - ends[0], flat, _mix(flat + _mix(hubs, 0x2545F4914F6CDD1D), 3)
+
+
+def _differences(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """A row for each token of the prefix of the difference between a node's set and its chief's, of d tokens.
 
     Let k = (1 - t) / (1 + t), so that sets of x and y tokens are similar if they differ in k * (x + y) tokens at most,
@@ -225,34 +251,42 @@ def _differences(met: DataFrame, sets: DataFrame, classes: np.ndarray, percent:
     nodes x (not linked) and y share at least max(1, s_x / (1 + k), (1 - k) * d_y / 2) tokens, and if y isn't linked
     either, also (1 - k) * d_x / 2. Tokens have their ``rank`` in the order. So a linked node has one prefix, always
     ``core``; one that isn't linked has a longer prefix to meet linked nodes, of which the ``core`` meets the others.
+
+    The order puts tokens first that few differences from the chief hold, as a sketch counts them. That isn't the order of
+    rare tokens: one that only the chief has is rare, but lies in all differences, and so does nearly one that all but the
+    chief have. Last in the order, they are past the prefixes and let no two differences meet.
     """
     for side, key in (("x", "node"), ("h", "hub")):
         met = met.join(sets.select(F.col("node").alias(key), F.col("tokens").alias(f"set_{side}")), key)
     differ = met.select("hub", "hub_n", "node", "n", "part", "main", F.concat(F.array_except("set_x", "set_h"), F.array_except("set_h", "set_x")).alias("differ"))
+    differ = stage(differ, "join-differ")
+    counts = _sketch(differ.select("hub", "differ"), lambda batch: (of_hub for *_, of_hub in _by_hub(batch)))
+    classes = np.minimum(np.rint(8 * np.log2(np.maximum(counts, 1))), 255).astype(np.uint8)
     k = (100 - percent) / (100 + percent)
 
     def run(batches):
         claim()
-        for batch in batches:
-            lists = batch.column("differ")
-            ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
+        for part, ends, flat, of_hub in itertools.chain.from_iterable(map(_by_hub, batches)):
             d = np.diff(ends)
-            both = np.asarray(batch.column("n")) + np.asarray(batch.column("hub_n"))
+            both = np.asarray(part.column("n")) + np.asarray(part.column("hub_n"))
             s = d - k * both
             linked = d * (100 + percent) <= (100 - percent) * both
             half = (1 - k) * d / 2
             core = d + 1 - np.maximum(1, np.ceil(np.maximum(half, s / (1 + k)) - 1e-6)).astype(np.int64)
             most = np.where(linked, core, d + 1 - np.maximum(1, np.ceil(s / (1 + k) - 1e-6)).astype(np.int64))
+            order = _order(of_hub, classes, 1)
             first = []
             for i, j, m in zip(ends[:-1].tolist(), ends[1:].tolist(), most.tolist(), strict=True):
-                first.append(flat[i:j][np.argsort(_order(flat[i:j], classes, 1))[:m]])
+                first.append(flat[i:j][np.argsort(order[i:j])[:m]])
             upto = np.append(0, np.cumsum([len(x) for x in first])).astype(np.int32)
-            columns = {c: batch.column(c) for c in ("hub", "node", "n", "part", "main")}
+            columns = {c: part.column(c) for c in ("hub", "node", "n", "part", "main")}
             columns |= {"d": pa.array(d.astype(np.int64)), "linked": pa.array(linked), "core": pa.array(core)}
             columns["tokens"] = pa.ListArray.from_arrays(upto, np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64))
             yield pa.RecordBatch.from_pydict(columns)
 
-    return map_arrow(differ, run, "hub long, node long, n long, part long, main boolean, d long, linked boolean, core long, tokens array<long>")
+    first = stage(map_arrow(differ, run, "hub long, node long, n long, part long, main boolean, d long, linked boolean, core long, tokens array<long>"), "join-differences")
+    unstage(differ)
+    return first
 
 
 def _by_token(differ: DataFrame) -> DataFrame:
@@ -321,7 +355,7 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     # Only nodes outside their chief's component can still have a link to find: with the chief, or with another of its nodes.
     others = placed.filter(~F.col("main"))
     direct = others.filter(long_enough(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    differ = stage(_differences(placed.join(others.select("hub").distinct(), "hub", "left_semi"), sets, classes, percent), "join-differences")
+    differ = _differences(placed.join(others.select("hub").distinct(), "hub", "left_semi"), sets, percent)
     rows = _by_token(differ)
     x, y = (rows.select("hub", "token", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "part", "main", "d", "linked", "core", "rank"))) for side in "xy")
     near = (100 + percent) * F.abs(F.col("x_d") - F.col("y_d")) <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
